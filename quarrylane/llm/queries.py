@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylane.llm import line_dedup, packing, quality_rules, simhash, url_filter
+from quarrylane.llm import line_dedup, order_minhash, packing, quality_rules, simhash, url_filter
 from quarrylane.llm.common import table
 
 
@@ -32,12 +32,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_url_filter": op8_url_filter,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE}
