@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylane.llm import language_id, line_dedup, order_minhash, packing, quality_rules, simhash, url_filter
+from quarrylane.llm import language_id, line_dedup, order_minhash, packing, quality_classifier, quality_rules, simhash, url_filter
 from quarrylane.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE}

@@ -24,12 +24,13 @@ with np.errstate(over="ignore"):
         _POWER[_k] = _POWER[_k - 1] * np.uint64(0x100000001B3)
 
 
-def run_hashes(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every run of bytes that are inside, in order."""
+def run_hashes(data: np.ndarray, inside: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of every run of bytes that are inside, in order; first gives other starts among those bytes."""
     at = np.flatnonzero(inside)
     if not len(at):
         return np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    if first is None:
+        first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
     pos = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
     power = _POWER[pos & 255] + (pos >> 8).astype(np.uint64)
     with np.errstate(over="ignore"):
