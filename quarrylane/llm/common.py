@@ -46,3 +46,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         where = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{where}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

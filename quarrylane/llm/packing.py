@@ -13,8 +13,10 @@ as they occur; an empty table gives an empty result; columns besides the key and
 from __future__ import annotations
 
 import bisect
+import re
+import sys
+import types
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,40 +28,72 @@ from pyspark.sql.window import Window
 from quarrylane.llm.common import checkpointed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of a worker's word cache before it is emptied.
-CACHE = 400_000
+#: Entries of a worker's cache before it starts anew.
+CACHE = 700_000
+#: A Latin word in composed letters, then marks: two parts for this tokenizer, whatever the case of the letters.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?@\[-`{}]*)\Z")
+MARK = "~"
 
 
-def word_ids(load: Callable) -> Callable[[list[str]], list[np.ndarray]]:
-    """A function from texts to their token ids, by a tokenizer that never joins what white space separates.
+def worker_state(name: str) -> dict:
+    """A dict that lives as long as the Python worker, so that its later tasks find what earlier ones cached."""
+    home = sys.modules.setdefault("_packing_worker_state", types.ModuleType("_packing_worker_state"))
+    return home.__dict__.setdefault(name, {})
+
+
+class WordCache:
+    """Token ids (as little-endian bytes) of blank-separated parts, for a tokenizer that never joins over white space.
 
-    Blank-separated parts are encoded once and kept in a bounded cache. Texts with a special token's mark are encoded
-    whole, as such tokens are matched before the text is split.
+    Unknown parts are reduced to lower-cased words and marks where that is exact, and encoded in one call, joined by a
+    mark that is a token of its own.
     """
-    tokenizer = load()
-    cache: dict[str, list[int]] = {}
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known = tokenizer, {}
+        self.mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        plain = [p for p in parts if MARK not in p and p]
+        found: dict[str, bytes] = {}
+        if plain and len(self.mark) == 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            runs = np.split(ids, np.flatnonzero(ids == self.mark[0]))
+            if len(runs) == len(plain):
+                found = {p: (r[1:] if k else r).tobytes() for k, (p, r) in enumerate(zip(plain, runs, strict=True))}
+        return [found[p] if p in found else np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in parts]
+
+    def _learn(self, parts: set[str]) -> None:
+        simple = {p: m.groups() for p in parts if (m := SIMPLE.match(p))}
+        need = {x for word, marks in simple.values() for x in (word.lower(), marks)} | (parts - simple.keys())
+        need = [x for x in need if x not in self.known]
+        self.known.update(zip(need, self._encode(need), strict=True))
+        for p, (word, marks) in simple.items():
+            self.known[p] = self.known[word.lower()] + self.known[marks]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for text in texts:
-            if "<|" in text:
-                out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
-                continue
-            parts = text.replace("\n", " ").split(" ")
-            new = [w for w in set(parts) if w not in cache]
+        for k in range(0, len(texts), 200):
+            group = [t if "<|" in t else t.replace("\n", " ").split(" ") for t in texts[k : k + 200]]
+            every = set().union(*(g for g in group if isinstance(g, list)))
+            new = every.difference(self.known)
+            if new and len(self.known) + len(new) > CACHE:
+                self.known.clear()
+                new = every
             if new:
-                if len(cache) > CACHE:
-                    cache.clear()
-                    new = list(set(parts))
-                for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    cache[w] = e.ids
-            ids: list[int] = []
-            for w in parts:
-                ids += cache[w]
-            out.append(np.array(ids, dtype="<u4"))
+                self._learn(new)
+            get = self.known.__getitem__
+            for g in group:
+                whole = isinstance(g, str)
+                out.append(np.array(self.tokenizer.encode(g, add_special_tokens=False).ids, dtype="<u4") if whole else np.frombuffer(b"".join(map(get, g)), dtype="<u4"))
         return out
 
-    return encode
+
+def word_ids(load: Callable) -> Callable[[list[str]], list[np.ndarray]]:
+    """A function from texts to their token ids. Texts with a special token's mark are encoded whole, as such tokens are matched before the text is split."""
+    state = worker_state(f"{load.__module__}.{load.__qualname__}")
+    if "cache" not in state:
+        state["cache"] = WordCache(load())
+    return state["cache"].ids
 
 
 def pieces_of(docs: DataFrame, load: Callable, size: int = 4096, end_id: int = 1, key: str = "doc_id") -> DataFrame:
