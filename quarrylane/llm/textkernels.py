@@ -161,6 +161,8 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
         return True
     head = differ[0]
     tails = np.flatnonzero(a[len(a) - m :][::-1] != b[len(b) - m :][::-1])
+    if not len(tails):
+        return True
     tail = min(tails[0], m - head)
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if len(a) == len(b) and np.count_nonzero(a != b) <= most:
