@@ -130,7 +130,7 @@ def rental_hotspots(mk: Market, p: Period, limit: int = 5) -> DataFrame:
     return area_growth(mk, p, rentals=True).orderBy(F.desc("change_pct"), "community_key").limit(limit)
 
 
-def hot_projects(mk: Market, p: Period, limit: int = 5, least: int = 5, ratio_from: float = 2.0, places: int = 2) -> DataFrame:
+def hot_projects(mk: Market, p: Period, limit: int = 5, least: int = 5, ratio_from: float = 2.0, avg_from: float = 1.0, places: int = 2) -> DataFrame:
     """Projects whose period count is a multiple of their monthly average over the six months before.
 
     The first 3 * limit by ratio are taken before the thin-baseline filter, as the ratio's definition wants.
@@ -140,7 +140,7 @@ def hot_projects(mk: Market, p: Period, limit: int = 5, least: int = 5, ratio_fr
     g = mk.sold.where("project_id is not null").where(p.cur("instance_date") | before).groupBy("project_id")
     a = g.agg(count_when(p.cur("instance_date")).alias("current_count"), (count_when(before) / F.lit(6.0)).alias("avg"))
     a = a.where((F.col("current_count") >= least) & (F.col("avg") > 0)).withColumn("_r", F.col("current_count") / F.col("avg"))
-    a = a.orderBy(F.desc("_r"), "project_id").limit(3 * limit).where("avg >= 1").withColumn("ratio", m.rounded("_r", places)).where(F.col("ratio") >= ratio_from)
+    a = a.orderBy(F.desc("_r"), "project_id").limit(3 * limit).where(F.col("avg") >= avg_from).withColumn("ratio", m.rounded("_r", places)).where(F.col("ratio") >= ratio_from)
     a = a.join(mk.project.select("project_id", F.col("dld_project_name").alias("project_name")), "project_id")
     return a.orderBy(F.desc("ratio"), "project_id").limit(limit).select("project_id", "project_name", "current_count", m.rounded("avg", 1).alias("trailing_monthly_avg"), "ratio")
 
