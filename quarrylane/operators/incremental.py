@@ -14,12 +14,12 @@ from pyspark.sql.window import Window
 
 # -- fixed values: fields whose changes are logged --------------------------------------------------------------------
 TRACKED_AREA = (
-    "name", "parent_area_name", "also_known_as", "area_type", "dld_community_name_en", "dld_community_code", "overview", "total_buildings", "total_units",
-    "sub_community_count", "development_status", "master_developer", "image_url",
+    "description", "also_known_as", "developer_raw", "dld_buildings", "dld_villas", "dld_residential_units", "dld_commercial_units",
+    "dev_total", "dev_completed", "dev_under_construction", "dev_planned", "dev_on_hold", "dev_cancelled",
 )
-TRACKED_DEVELOPMENT = ("name", "raw_status", "normalized_status", "total_units", "estimated_completion_date", "developer_id", "area_id", "project_value_aed")
+TRACKED_DEVELOPMENT = ("raw_status", "normalized_status", "total_units", "estimated_completion_date", "actual_completion_date", "developer_raw", "storeys_raw", "is_active")
 #: Update order of statuses; others come last.
-STATUS_RANK = {"under_construction": 0, "planned": 1, "announced": 1, "delayed": 2, "on_hold": 2, "completed": 3}
+STATUS_RANK = {"under_construction": 0, "planned": 1, "announced": 2, "on_hold": 3}
 
 
 def same_key(a: str, b: str, keys: list[str]) -> Column:
@@ -90,7 +90,7 @@ def stubs(developments: DataFrame, limit: int | None = None) -> DataFrame:
 
 def update_candidates(developments: DataFrame, limit: int | None = None) -> DataFrame:
     """Enriched active rows, by status rank and then the longest unvisited."""
-    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUS_RANK.items() for x in kv]), F.col("normalized_status")), F.lit(9))
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUS_RANK.items() for x in kv]), F.col("normalized_status")), F.lit(4))
     rows = developments.where("is_active and not is_stub").orderBy(rank, F.asc_nulls_first("last_seen_at"), "url").select("url", "normalized_status", "last_seen_at")
     return rows if limit is None else rows.limit(limit)
 
