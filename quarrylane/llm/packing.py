@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from quarrylane.llm.common import checkpointed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of a worker's cache before it starts anew.
+#: Entries of a worker's cache before it starts anew (about 200 bytes each).
 CACHE = 700_000
 #: A Latin word in composed letters, then marks: two parts for this tokenizer, whatever the case of the letters.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?@\[-`{}]*)\Z")
