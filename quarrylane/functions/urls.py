@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarrylane.functions import vocabulary as v
 
@@ -19,7 +20,7 @@ def canonical_url(url: str, base: str | None = None) -> str:
     return urlunsplit(("https", p.netloc.lower(), path, query, ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if u is None else canonical_url(u, b) for u, b in zip(url, base, strict=True)], dtype="object")
 

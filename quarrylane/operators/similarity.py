@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -28,7 +29,7 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / total if total else 100.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort(a: pd.Series, b: pd.Series) -> pd.Series:
     """Column form; repeated pairs of a batch are computed once."""
     pairs = list(zip(a, b, strict=True))
