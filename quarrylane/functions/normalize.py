@@ -139,13 +139,13 @@ def clean(c: Column | str) -> Column:
 def split_names(c: Column | str) -> Column:
     """Names separated by comma, slash, semicolon, bar or " and " (candidate side)."""
     parts = F.split(F.coalesce(col(c), F.lit("")), r"[,/;|]| and ")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_aliases(c: Column | str) -> Column:
     """Names separated by comma, slash, semicolon or the word and, in any case (catalogue side)."""
     parts = F.split(F.coalesce(F.trim(col(c)), F.lit("")), r"(?i)\s*(?:,|/|;|\band\b)\s*")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalize_alias(c: Column | str) -> Column:

@@ -60,7 +60,7 @@ def best_match(keys: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     rows = candidates.select("key", "id").orderBy("key").limit(SMALL_POOL + 1).collect()
     if len(rows) <= SMALL_POOL:
-        pool = [(r["key"], r["id"]) for r in rows]
+        pool, ratio = [(r["key"], r["id"]) for r in rows], similarity.token_sort_ratio
 
         def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -70,7 +70,7 @@ def best_match(keys: DataFrame, candidates: DataFrame) -> DataFrame:
                     for cand, cid in pool:
                         total = len(key) + len(cand)
                         if total and 200.0 * min(len(key), len(cand)) / total > best[0]:
-                            score = similarity.token_sort_ratio(key, cand)
+                            score = ratio(key, cand)
                             if score > best[0]:
                                 best = (score, cid)
                     out.append((key, best[1], best[0]))

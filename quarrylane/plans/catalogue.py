@@ -9,8 +9,6 @@ from quarrylane.functions.normalize import elapsed
 from quarrylane.operators.trees import closure, subtree_counts
 from quarrylane.plans.market import STATUSES
 
-ONE = F.lit(1)
-
 
 def jobs(rows: DataFrame, latest: bool = False) -> DataFrame:
     out = rows.orderBy(F.desc("id")).withColumn("elapsed", elapsed("started_at", F.coalesce("finished_at", F.current_timestamp())))
@@ -26,9 +24,9 @@ def overview(developments: DataFrame, **others: DataFrame) -> DataFrame:
     """One row of figures over developments and the row counts of other tables."""
     like = lambda s: F.count_if(F.col("development_type").ilike(f"%{s}%"))
     state = lambda s: F.count_if(F.col("normalized_status") == s).alias(s)
-    out = developments.agg(F.count(ONE).alias("developments"), F.count_if("is_active").alias("active"), like("villa").alias("villas"), like("townhouse").alias("townhouses"), *map(state, STATUSES), F.sum(F.col("total_units").cast("long")).alias("known_units"))
+    out = developments.agg(F.count("*").alias("developments"), F.count_if("is_active").alias("active"), like("villa").alias("villas"), like("townhouse").alias("townhouses"), *map(state, STATUSES), F.sum(F.col("total_units").cast("long")).alias("known_units"))
     for name, df in others.items():
-        out = out.join(df.agg(F.count(ONE).alias(name)), F.lit(True), "left")
+        out = out.join(df.agg(F.count("*").alias(name)), F.lit(True), "left")
     return out
 
 
@@ -38,7 +36,7 @@ def status_breakdown(developments: DataFrame, areas: DataFrame | None = None, ar
         ids = closure(areas).where(F.col("root") == area_id).select(F.col("node").alias("area_id"))
         developments = developments.join(ids, "area_id", "left_semi")
     domain = developments.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
-    n = developments.groupBy(F.coalesce("normalized_status", F.lit("other")).alias("status")).agg(F.count(ONE).alias("n"))
+    n = developments.groupBy(F.coalesce("normalized_status", F.lit("other")).alias("status")).agg(F.count("*").alias("n"))
     return domain.join(n, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -53,8 +51,8 @@ def recent_changes(log: DataFrame, kinds: tuple[str, ...], limit: int = 20) -> D
 
 
 def crawl_health(pages: DataFrame, errors: DataFrame, queue: DataFrame) -> DataFrame:
-    a = pages.agg(F.count(ONE).alias("pages"), F.countDistinct("content_hash").alias("distinct_pages"), F.max("fetched_at").alias("last_fetch"))
-    b = errors.agg(F.count(ONE).alias("errors"))
+    a = pages.agg(F.count("*").alias("pages"), F.countDistinct("content_hash").alias("distinct_pages"), F.max("fetched_at").alias("last_fetch"))
+    b = errors.agg(F.count("*").alias("errors"))
     c = queue.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "blocked").alias("blocked"))
     return a.join(b, F.lit(True), "left").join(c, F.lit(True), "left")
 
@@ -68,7 +66,7 @@ def list_areas(areas: DataFrame, developments: DataFrame, search: str | None = N
 def unit_coverage(developments: DataFrame, areas: DataFrame, area_id: int) -> DataFrame:
     ids = closure(areas).where(F.col("root") == area_id).select(F.col("node").alias("area_id"))
     rows = developments.join(ids, "area_id", "left_semi")
-    return rows.agg(F.count(ONE).alias("developments"), F.count("total_units").alias("with_units"), F.count_if(F.col("total_units").isNull()).alias("without_units"), F.sum(F.col("total_units").cast("long")).alias("units"))
+    return rows.agg(F.count("*").alias("developments"), F.count("total_units").alias("with_units"), F.count_if(F.col("total_units").isNull()).alias("without_units"), F.sum(F.col("total_units").cast("long")).alias("units"))
 
 
 def _filters(search: str | None, area_id: int | None, developer_id: int | None, status: str | None, dev_type: str | None, year: str | None) -> list[Column]:
@@ -93,7 +91,7 @@ def list_developments(developments: DataFrame, search: str | None = None, area_i
 
 
 def count_developments(developments: DataFrame, **filters) -> DataFrame:
-    return list_developments(developments, page=None, **filters).agg(F.count(ONE).alias("n"))
+    return list_developments(developments, page=None, **filters).agg(F.count("*").alias("n"))
 
 
 def development(developments: DataFrame, dev_id: int | None = None, url: str | None = None) -> DataFrame:

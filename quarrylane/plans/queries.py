@@ -16,12 +16,10 @@ from quarrylane.functions import metrics as m
 from quarrylane.functions.periods import Period
 from quarrylane.plans.market import BEDROOMS, UPCOMING, Market
 
-ONE = F.lit(1)
-WHOLE = Window.partitionBy()
 
 
 def count_when(c: Column) -> Column:
-    return F.count(F.when(c, ONE))
+    return F.count(F.when(c, 1))
 
 
 def communities(facts: DataFrame, mk: Market) -> DataFrame:
@@ -73,12 +71,12 @@ def overview(mk: Market, p: Period, community: str | None = None) -> DataFrame:
 
 
 def best_selling_type(mk: Market, p: Period) -> DataFrame:
-    g = mk.sold.where(p.cur("instance_date")).groupBy("canonical_bedroom").agg(F.count(ONE).alias("n"))
+    g = mk.sold.where(p.cur("instance_date")).groupBy("canonical_bedroom").agg(F.count("*").alias("n"))
     return g.orderBy(F.desc("n"), F.asc_nulls_last("canonical_bedroom")).limit(1)
 
 
 def top_rental_area(mk: Market, p: Period) -> DataFrame:
-    by_area = mk.rentals.where(p.cur("registration_date")).groupBy("area_id").agg(F.count(ONE).alias("n"))
+    by_area = mk.rentals.where(p.cur("registration_date")).groupBy("area_id").agg(F.count("*").alias("n"))
     g = communities(by_area, mk).groupBy("community_name").agg(F.sum("n").alias("n"))
     return g.orderBy(F.desc("n"), F.asc_nulls_last("community_name")).limit(1)
 
@@ -97,7 +95,7 @@ def largest_supply(mk: Market) -> DataFrame:
 
 
 def supply_totals(mk: Market) -> DataFrame:
-    d = mk.developments.where("is_active").agg(F.count(ONE).alias("active_projects"), count_when(F.col("normalized_status") == "under_construction").alias("under_construction"))
+    d = mk.developments.where("is_active").agg(F.count("*").alias("active_projects"), count_when(F.col("normalized_status") == "under_construction").alias("under_construction"))
     return d.join(mk.unit_supply.agg(F.sum(F.col("total_units").cast("long")).alias("known_units")), F.lit(True), "left")
 
 
@@ -160,7 +158,7 @@ def developer_momentum(mk: Market, p: Period, limit: int = 5, least: int = 5) ->
 
 def signal_dominant(mk: Market, p: Period, limit: int = 5, least: int = 15, share_from: float = 35.0) -> DataFrame:
     """Bedroom types that hold a large share of a community's rentals; unknown types count in the total only."""
-    by_area = mk.rentals.where(p.cur("registration_date")).groupBy("area_id", "canonical_bedroom").agg(F.count(ONE).alias("c"))
+    by_area = mk.rentals.where(p.cur("registration_date")).groupBy("area_id", "canonical_bedroom").agg(F.count("*").alias("c"))
     g = communities(by_area, mk).groupBy("community_key", "community_name", "canonical_bedroom").agg(F.sum("c").alias("c"))
     g = g.withColumn("total", F.sum("c").over(Window.partitionBy("community_key", "community_name"))).where((F.col("total") >= least) & ~F.col("canonical_bedroom").isin("Unknown", "Other"))
     share = m.rounded(F.lit(100.0) * F.col("c") / F.col("total"), 1)
@@ -201,7 +199,7 @@ def _upcoming_by_community(mk: Market) -> DataFrame:
 
 def signal_supply(mk: Market, p: Period, limit: int = 5) -> DataFrame:
     """Communities whose upcoming units are high against a year's rental demand."""
-    by_area = mk.rentals.where(p.cur("registration_date")).groupBy("area_id").agg(F.count(ONE).alias("n"))
+    by_area = mk.rentals.where(p.cur("registration_date")).groupBy("area_id").agg(F.count("*").alias("n"))
     rented = communities(by_area, mk).groupBy("community_key").agg(F.sum("n").alias("rentals"))
     g = _upcoming_by_community(mk).join(rented, "community_key", "left")
     g = g.withColumn("annual_demand", m.annualised(F.coalesce("rentals", F.lit(0)), p.days)).withColumn("risk", m.oversupply_risk("incoming_units", "annual_demand"))
@@ -213,8 +211,8 @@ def signal_supply(mk: Market, p: Period, limit: int = 5) -> DataFrame:
 
 
 def _community_stats(mk: Market, p: Period) -> DataFrame:
-    s = communities(mk.sold.where(p.cur("instance_date")), mk).groupBy("community_key").agg(F.count(ONE).alias("sales_count"), F.median("trans_value_aed").alias("median_price"), F.median("price_per_sqft_aed").alias("median_psf"))
-    r = communities(mk.rentals.where(p.cur("registration_date")), mk).groupBy("community_key").agg(F.count(ONE).alias("rental_count"), F.median("annual_amount_aed").alias("median_rent"))
+    s = communities(mk.sold.where(p.cur("instance_date")), mk).groupBy("community_key").agg(F.count("*").alias("sales_count"), F.median("trans_value_aed").alias("median_price"), F.median("price_per_sqft_aed").alias("median_psf"))
+    r = communities(mk.rentals.where(p.cur("registration_date")), mk).groupBy("community_key").agg(F.count("*").alias("rental_count"), F.median("annual_amount_aed").alias("median_rent"))
     names = mk.area.groupBy("community_key").agg(F.min("community_name").alias("community_name"))
     g = names.join(s, "community_key", "left").join(r, "community_key", "left")
     return g.withColumn("sales_count", F.coalesce("sales_count", F.lit(0))).withColumn("rental_count", F.coalesce("rental_count", F.lit(0)))
@@ -256,12 +254,12 @@ def compare_communities(mk: Market, p: Period, keys: list[str]) -> DataFrame:
 
 def bedroom_split(mk: Market, p: Period, community: str | None = None, rentals: bool = False) -> DataFrame:
     facts, day = (mk.rentals, "registration_date") if rentals else (mk.sold, "instance_date")
-    g = in_community(facts.where(p.cur(day)), mk, community).groupBy("canonical_bedroom").agg(F.count(ONE).alias("n"))
-    return g.withColumn("share_pct", m.market_share("n", F.sum("n").over(WHOLE)))
+    g = in_community(facts.where(p.cur(day)), mk, community).groupBy("canonical_bedroom").agg(F.count("*").alias("n"))
+    return g.withColumn("share_pct", m.market_share("n", F.sum("n").over(Window.partitionBy())))
 
 
 def community_top_projects(mk: Market, p: Period, community: str, limit: int = 10) -> DataFrame:
-    g = in_community(mk.sold.where(p.cur("instance_date")), mk, community).groupBy("project_id").agg(F.count(ONE).alias("n"), F.median("trans_value_aed").alias("median_price"))
+    g = in_community(mk.sold.where(p.cur("instance_date")), mk, community).groupBy("project_id").agg(F.count("*").alias("n"), F.median("trans_value_aed").alias("median_price"))
     g = g.join(mk.project.select("project_id", F.col("dld_project_name").alias("project_name")), "project_id")
     return g.orderBy(F.desc("n"), "project_id").limit(limit)
 
@@ -271,7 +269,7 @@ def community_developers(mk: Market, community: str, limit: int = 10) -> DataFra
     areas = mk.area.where(F.col("community_key") == community).select(F.col("scraped_area_id").alias("area_id")).distinct()
     d = mk.developments.join(areas, "area_id", "left_semi")
     upcoming = F.when(F.col("normalized_status").isin(*UPCOMING), F.col("total_units"))
-    g = d.groupBy("developer_id").agg(F.count(ONE).alias("developments"), F.sum(upcoming.cast("long")).alias("upcoming_units"))
+    g = d.groupBy("developer_id").agg(F.count("*").alias("developments"), F.sum(upcoming.cast("long")).alias("upcoming_units"))
     g = g.join(mk.developers.select(F.col("id").alias("developer_id"), F.col("name").alias("developer_name")), "developer_id")
     return g.orderBy(F.desc("developments"), "developer_id").limit(limit).drop("developer_id")
 
@@ -299,8 +297,8 @@ def breakdown(mk: Market, p: Period, by: str = "community", rentals: bool = Fals
     """Counts, value and median by a dimension. Shares are of the returned rows."""
     facts, day, value = (mk.rentals, "registration_date", "annual_amount_aed") if rentals else (mk.sold, "instance_date", "trans_value_aed")
     g = _labelled(facts.where(p.cur(day)), mk, by, rentals).where("label is not null").groupBy("label")
-    g = g.agg(F.count(ONE).alias("n"), m.money_sum(value).alias("total_value"), F.median(value).alias("median_value")).orderBy(F.desc("n"), "label").limit(limit)
-    return g.withColumn("share_pct", m.market_share("n", F.sum("n").over(WHOLE)))
+    g = g.agg(F.count("*").alias("n"), m.money_sum(value).alias("total_value"), F.median(value).alias("median_value")).orderBy(F.desc("n"), "label").limit(limit)
+    return g.withColumn("share_pct", m.market_share("n", F.sum("n").over(Window.partitionBy())))
 
 
 def trend(mk: Market, p: Period, grain: str = "week", rentals: bool = False, facts: DataFrame | None = None) -> DataFrame:
@@ -309,12 +307,12 @@ def trend(mk: Market, p: Period, grain: str = "week", rentals: bool = False, fac
     facts = facts if facts is not None else (mk.rentals if rentals else mk.sold)
     bucket = F.col(day) if grain == "day" else F.trunc(day, "week" if grain == "week" else "month")
     extra = [count_when(F.col("is_renewal")).alias("renewals"), count_when(~F.col("is_renewal")).alias("new_leases")] if rentals else [m.money_sum(value).alias("total_value")]
-    return facts.where(p.cur(day)).groupBy(bucket.alias("bucket")).agg(F.count(ONE).alias("n"), F.median(value).alias("median_value"), *extra)
+    return facts.where(p.cur(day)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.median(value).alias("median_value"), *extra)
 
 
 def demand_matrix(mk: Market, p: Period, top: int = 10, share: bool = False) -> DataFrame:
     """Rentals of the busiest communities by bedroom type, as counts or as shares of the row."""
-    by_area = mk.rentals.where(p.cur("registration_date")).groupBy("area_id", "canonical_bedroom").agg(F.count(ONE).alias("c"))
+    by_area = mk.rentals.where(p.cur("registration_date")).groupBy("area_id", "canonical_bedroom").agg(F.count("*").alias("c"))
     cells = communities(by_area, mk).groupBy("community_key", "community_name", "canonical_bedroom").agg(F.sum("c").alias("c"))
     best = cells.groupBy("community_key").agg(F.sum("c").alias("total")).orderBy(F.desc("total"), "community_key").limit(top)
     grid = cells.join(best, "community_key").groupBy("community_key", "community_name", "total").pivot("canonical_bedroom", BEDROOMS).agg(F.sum("c")).na.fill(0, BEDROOMS)
@@ -327,10 +325,10 @@ def demand_matrix(mk: Market, p: Period, top: int = 10, share: bool = False) ->
 def unit_types(mk: Market, p: Period, community: str | None = None) -> DataFrame:
     s = _two_windows(in_community(mk.sold, mk, community), p, "instance_date").groupBy("canonical_bedroom").agg(
         count_when(F.col("_cur")).alias("sales_count"), count_when(F.col("_prev")).alias("prev_sales"), F.median(F.when(F.col("_cur"), F.col("trans_value_aed"))).alias("median_price"))
-    r = in_community(mk.rentals.where(p.cur("registration_date")), mk, community).groupBy("canonical_bedroom").agg(F.count(ONE).alias("rental_count"), F.median("annual_amount_aed").alias("median_rent"))
+    r = in_community(mk.rentals.where(p.cur("registration_date")), mk, community).groupBy("canonical_bedroom").agg(F.count("*").alias("rental_count"), F.median("annual_amount_aed").alias("median_rent"))
     g = s.join(r, "canonical_bedroom", "full_outer").na.fill(0, ["sales_count", "prev_sales", "rental_count"]).where("sales_count + rental_count > 0")
     return g.select(
-        "canonical_bedroom", "sales_count", "rental_count", "median_price", "median_rent", m.market_share("sales_count", F.sum("sales_count").over(WHOLE)).alias("sales_share_pct"),
+        "canonical_bedroom", "sales_count", "rental_count", "median_price", "median_rent", m.market_share("sales_count", F.sum("sales_count").over(Window.partitionBy())).alias("sales_share_pct"),
         m.pct_change("sales_count", "prev_sales").alias("sales_change_pct"), m.gross_yield("median_rent", "median_price").alias("yield_pct"), m.confidence(F.least("sales_count", "rental_count")).alias("confidence"),
     )
 
@@ -374,7 +372,7 @@ def explorer(mk: Market, rentals: bool = False, page: int | None = 1, page_size:
 
 
 def explorer_count(mk: Market, rentals: bool = False, **params: str) -> DataFrame:
-    return explorer(mk, rentals, page=None, **params).agg(F.count(ONE).alias("n"))
+    return explorer(mk, rentals, page=None, **params).agg(F.count("*").alias("n"))
 
 
 # -- projects and developers ------------------------------------------------------------------------------------------
@@ -382,14 +380,14 @@ def explorer_count(mk: Market, rentals: bool = False, **params: str) -> DataFram
 
 def map_developments(mk: Market) -> DataFrame:
     """Developments with coordinates and the sales recorded for them."""
-    sold = mk.sold.groupBy("project_id").agg(F.count(ONE).alias("c")).join(mk.project.select("project_id", F.col("matched_development_id").alias("id")), "project_id").groupBy("id").agg(F.sum("c").alias("sales_count"))
+    sold = mk.sold.groupBy("project_id").agg(F.count("*").alias("c")).join(mk.project.select("project_id", F.col("matched_development_id").alias("id")), "project_id").groupBy("id").agg(F.sum("c").alias("sales_count"))
     d = mk.developments.where("latitude is not null and longitude is not null")
     return d.join(sold, "id", "left").select("id", "name", "latitude", "longitude", "normalized_status", F.coalesce("sales_count", F.lit(0)).alias("sales_count"))
 
 
 def project_list(mk: Market, p: Period, search: str | None = None, limit: int = 50) -> DataFrame:
-    s = mk.sold.where(p.cur("instance_date")).groupBy("project_id").agg(F.count(ONE).alias("sales_count"), F.median("trans_value_aed").alias("median_price"))
-    r = mk.rentals.where(p.cur("registration_date")).groupBy("project_id").agg(F.count(ONE).alias("rental_count"))
+    s = mk.sold.where(p.cur("instance_date")).groupBy("project_id").agg(F.count("*").alias("sales_count"), F.median("trans_value_aed").alias("median_price"))
+    r = mk.rentals.where(p.cur("registration_date")).groupBy("project_id").agg(F.count("*").alias("rental_count"))
     d = mk.developments.select(F.col("id").alias("matched_development_id"), "normalized_status", "developer_id")
     names = mk.project if not search else mk.project.where(F.col("dld_project_name").ilike(f"%{search}%"))
     g = names.join(s, "project_id", "left").join(r, "project_id", "left").na.fill(0, ["sales_count", "rental_count"])
@@ -402,7 +400,7 @@ def project_detail(mk: Market, p: Period, project_id: int | None = None) -> Data
     """Counts, medians, active months and liquidity, for one project or all."""
     sold = mk.sold.where(p.cur("instance_date"))
     sold = sold if project_id is None else sold.where(F.col("project_id") == project_id)
-    g = sold.groupBy("project_id").agg(F.count(ONE).alias("sales_count"), F.median("trans_value_aed").alias("median_price"), F.countDistinct(F.trunc("instance_date", "month")).alias("active_months"), F.max("instance_date").alias("last_sale"))
+    g = sold.groupBy("project_id").agg(F.count("*").alias("sales_count"), F.median("trans_value_aed").alias("median_price"), F.countDistinct(F.trunc("instance_date", "month")).alias("active_months"), F.max("instance_date").alias("last_sale"))
     months = m.months_span(p.days)
     return g.withColumn("liquidity", m.liquidity("sales_count", months, m.consistency("active_months", months)))
 
@@ -452,8 +450,8 @@ def master_trend(mk: Market, p: Period, slug: str, rentals: bool = False) -> Dat
 
 def building_performance(mk: Market, p: Period, slug: str | None = None) -> DataFrame:
     """Per building: counts, averages, their yield and the last transaction."""
-    s = scope(mk.sold.where(p.cur("instance_date")), mk, slug).groupBy("project_id").agg(F.count(ONE).alias("sales_count"), m.money_avg("trans_value_aed").alias("avg_price"), F.max("instance_date").alias("_s"))
-    r = scope(mk.rentals.where(p.cur("registration_date")), mk, slug).groupBy("project_id").agg(F.count(ONE).alias("rental_count"), m.money_avg("annual_amount_aed").alias("avg_rent"), F.max("registration_date").alias("_r"))
+    s = scope(mk.sold.where(p.cur("instance_date")), mk, slug).groupBy("project_id").agg(F.count("*").alias("sales_count"), m.money_avg("trans_value_aed").alias("avg_price"), F.max("instance_date").alias("_s"))
+    r = scope(mk.rentals.where(p.cur("registration_date")), mk, slug).groupBy("project_id").agg(F.count("*").alias("rental_count"), m.money_avg("annual_amount_aed").alias("avg_rent"), F.max("registration_date").alias("_r"))
     names = mk.project.join(mk.master.select("master_project_id", "slug"), "master_project_id")
     names = names if slug is None else names.where(F.col("slug") == slug)
     g = names.select("project_id", "slug", "building_label").join(s, "project_id", "left").join(r, "project_id", "left").na.fill(0, ["sales_count", "rental_count"])
@@ -462,7 +460,7 @@ def building_performance(mk: Market, p: Period, slug: str | None = None) -> Data
 
 def sales_vs_rentals(mk: Market, p: Period) -> DataFrame:
     """Per master project: both counts, their ratio, shares, and the busiest bedroom type."""
-    tag = lambda df, k: df.groupBy("project_id", "canonical_bedroom").agg(F.count(ONE).alias("c")).withColumn("k", F.lit(k))
+    tag = lambda df, k: df.groupBy("project_id", "canonical_bedroom").agg(F.count("*").alias("c")).withColumn("k", F.lit(k))
     both = tag(mk.sold.where(p.cur("instance_date")), "s").unionByName(tag(mk.rentals.where(p.cur("registration_date")), "r"))
     g = both.join(mk.project.select("project_id", "master_project_id"), "project_id").groupBy("master_project_id", "canonical_bedroom").agg(F.sum(F.when(F.col("k") == "s", F.col("c")).otherwise(0)).alias("s"), F.sum(F.when(F.col("k") == "r", F.col("c")).otherwise(0)).alias("r"))
     g = g.groupBy("master_project_id").agg(F.sum("s").alias("sales_count"), F.sum("r").alias("rental_count"), F.min_by("canonical_bedroom", F.struct(-(F.col("s") + F.col("r")), "canonical_bedroom")).alias("top_bedroom"))
@@ -472,19 +470,19 @@ def sales_vs_rentals(mk: Market, p: Period) -> DataFrame:
 
 def developer_share(mk: Market, p: Period, limit: int = 50) -> DataFrame:
     """Developers by sales; shares are of the returned rows, developers without sales come last."""
-    sold = mk.sold.where(p.cur("instance_date")).groupBy("project_id").agg(F.count(ONE).alias("c"), m.money_sum("trans_value_aed").alias("v"))
+    sold = mk.sold.where(p.cur("instance_date")).groupBy("project_id").agg(F.count("*").alias("c"), m.money_sum("trans_value_aed").alias("v"))
     s = by_developer(sold, mk).groupBy("developer_id").agg(F.sum("c").alias("sales_count"), m.money_sum("v").alias("sales_value"))
     d = mk.developments.groupBy("developer_id").agg(F.countDistinct("id").alias("developments"))
     g = mk.developers.select(F.col("id").alias("developer_id"), F.col("name").alias("developer_name")).join(d, "developer_id", "left").join(s, "developer_id", "left")
     g = g.orderBy(F.desc_nulls_last("sales_count"), "developer_id").limit(limit)
-    return g.select("developer_name", F.coalesce("developments", F.lit(0)).alias("developments"), "sales_count", "sales_value", m.market_share("sales_count", F.sum("sales_count").over(WHOLE)).alias("share_pct"))
+    return g.select("developer_name", F.coalesce("developments", F.lit(0)).alias("developments"), "sales_count", "sales_value", m.market_share("sales_count", F.sum("sales_count").over(Window.partitionBy())).alias("share_pct"))
 
 
 # -- supply, opportunities, decision ----------------------------------------------------------------------------------
 
 
 def supply_status(mk: Market) -> DataFrame:
-    return mk.developments.groupBy(F.coalesce("normalized_status", F.lit("other")).alias("status")).agg(F.count(ONE).alias("n"), F.sum(F.col("total_units").cast("long")).alias("units"))
+    return mk.developments.groupBy(F.coalesce("normalized_status", F.lit("other")).alias("status")).agg(F.count("*").alias("n"), F.sum(F.col("total_units").cast("long")).alias("units"))
 
 
 def supply_mix(mk: Market) -> DataFrame:
@@ -495,7 +493,7 @@ def supply_mix(mk: Market) -> DataFrame:
 def supply_upcoming(mk: Market, by: str = "area", limit: int = 20) -> DataFrame:
     d = mk.developments.where(F.col("normalized_status").isin(*UPCOMING))
     key, names = ("area_id", mk.areas) if by == "area" else ("developer_id", mk.developers)
-    g = d.groupBy(key).agg(F.count(ONE).alias("developments"), F.sum(F.col("total_units").cast("long")).alias("units")).join(names.select(F.col("id").alias(key), "name"), key)
+    g = d.groupBy(key).agg(F.count("*").alias("developments"), F.sum(F.col("total_units").cast("long")).alias("units")).join(names.select(F.col("id").alias(key), "name"), key)
     return g.orderBy(F.desc_nulls_last("units"), key).limit(limit).select("name", "developments", "units")
 
 
@@ -541,7 +539,7 @@ def decision_engine(mk: Market, p: Period, priority: str = "balanced", risk_tole
         count_when(F.col("_cur")).alias("sales_count"), F.median(cur(F.col("trans_value_aed"))).alias("price"), F.median(cur(F.col("price_per_sqft_aed"))).alias("psf"),
         F.median(F.when(F.col("_prev"), F.col("price_per_sqft_aed"))).alias("prev_psf"), F.countDistinct(cur(F.trunc("instance_date", "month"))).alias("active_months"),
     ).where("sales_count > 0")
-    r = rented.groupBy("community_key").agg(F.count(ONE).alias("rental_count"), F.median("annual_amount_aed").alias("rent"))
+    r = rented.groupBy("community_key").agg(F.count("*").alias("rental_count"), F.median("annual_amount_aed").alias("rent"))
     g = s.join(r, "community_key", "left").na.fill(0, ["rental_count"]).where((F.col("sales_count") >= least) | (F.col("rental_count") >= least))
     g = g.join(_upcoming_by_community(mk).drop("community_name"), "community_key", "left")
     months = m.months_span(p.days)
@@ -567,9 +565,9 @@ def decision_engine(mk: Market, p: Period, priority: str = "balanced", risk_tole
 
 def data_quality(mk: Market) -> DataFrame:
     """(measure, name, n): match confidences, unlinked and invalid rows, hierarchy methods."""
-    groups = lambda df, c, measure: df.groupBy(F.col(c).alias("name")).agg(F.count(ONE).alias("n")).select(F.lit(measure).alias("measure"), "name", "n")
+    groups = lambda df, c, measure: df.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(measure).alias("measure"), "name", "n")
     invalid = lambda v: F.col(v).isNull() | (F.col(v) <= 0)
-    rows = lambda df, measure, v: df.agg(F.count(ONE).alias("rows"), count_when(F.col("area_id").isNull()).alias("without_area"), count_when(F.col("project_id").isNull()).alias("without_project"), count_when(invalid(v)).alias("invalid_value"), count_when(invalid("area_sqm")).alias("invalid_area")).select(F.lit(measure).alias("measure"), F.expr("stack(5, 'rows', rows, 'without_area', without_area, 'without_project', without_project, 'invalid_value', invalid_value, 'invalid_area', invalid_area) as (name, n)"))
+    rows = lambda df, measure, v: df.agg(F.count("*").alias("rows"), count_when(F.col("area_id").isNull()).alias("without_area"), count_when(F.col("project_id").isNull()).alias("without_project"), count_when(invalid(v)).alias("invalid_value"), count_when(invalid("area_sqm")).alias("invalid_area")).select(F.lit(measure).alias("measure"), F.expr("stack(5, 'rows', rows, 'without_area', without_area, 'without_project', without_project, 'invalid_value', invalid_value, 'invalid_area', invalid_area) as (name, n)"))
     parts = [groups(mk.area, "match_confidence", "area_match"), groups(mk.project, "match_confidence", "project_match"), groups(mk.project, "grouping_method", "grouping"), rows(mk.sales, "sales", "trans_value_aed"), rows(mk.rentals, "rentals", "annual_amount_aed")]
     out = parts[0]
     for part in parts[1:]:

@@ -207,3 +207,8 @@ _INVALID = lambda f, v: f"(SELECT count(*) AS rows, count(*) FILTER (area_id IS
 add("dq_summary", lambda k: Q.data_quality(k), "SELECT 'area_match' AS measure, conf AS name, count(*) AS n FROM area GROUP BY conf UNION ALL SELECT 'project_match', conf, count(*) FROM project GROUP BY conf UNION ALL SELECT 'grouping', method, count(*) FROM project GROUP BY method "
     + " ".join(f"UNION ALL SELECT '{f}', name, n FROM (UNPIVOT {_INVALID(f, 'val')} ON rows, without_area, without_project, invalid_value, invalid_area INTO NAME name VALUE n)" for f in ("sales", "rentals")))
 add("hierarchy_review", lambda k: Q.hierarchy_review(k), "SELECT slug, buildings AS building_count, string_agg(pname, '|' ORDER BY pname, method) AS buildings, string_agg(method, '|' ORDER BY pname, method) AS methods FROM master JOIN project USING (master_id) WHERE review GROUP BY slug, master.buildings ORDER BY building_count DESC, slug LIMIT 50")
+
+from quarrylane.plans import operators_registry as _single  # noqa: E402
+
+QUERIES |= _single.QUERIES
+ORACLES |= _single.ORACLES
