@@ -70,23 +70,36 @@ def occurrences(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_minhash(words: np.ndarray, k: int, take: int, sketches: int) -> np.ndarray:
-    """One key per sketch: the ``take`` least occurrence-labelled k-mers under the sketch's hash, in text order."""
+def order_minhash(words: np.ndarray, k: int, take: int, sketches: int, block: int = 1 << 16) -> np.ndarray:
+    """One key per sketch: the ``take`` least occurrence-labelled k-mers under the sketch's hash, in text order.
+
+    The labelled k-mers are well-mixed numbers, so a sketch's hash is a product with its own odd number. All sketches run
+    at once over blocks of k-mers; a block's least ones compete with those of the blocks before it.
+    """
     grams = kmers(words, k)
     n = len(grams)
     if not n:
         return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         labelled = mix(grams + occurrences(grams) * _GOLD)
-        keys = np.empty(sketches, np.uint64)
-        for j in range(sketches):
-            seed = mix(np.array([j + 1], np.uint64) * _GOLD)
-            x = mix(labelled ^ seed)
-            at = np.sort(np.argpartition(x, take - 1)[:take]) if n > take else np.arange(n)
-            key = seed.copy()
-            for g in grams[at]:
-                key = mix(key * np.uint64(0x100000001B3) + g)
-            keys[j] = key[0]
+        odd = mix(np.arange(1, sketches + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
+        best = np.full((sketches, 0), 0)
+        for low in range(0, n, block):
+            spots = np.arange(low, min(n, low + block))
+            if low:
+                spots = np.concatenate([np.broadcast_to(spots, (sketches, len(spots))), best], axis=1)
+                x = labelled[spots] * odd[:, None]
+            else:
+                x = labelled[:block] * odd[:, None]
+            found = []
+            for _ in range(min(take, x.shape[1])):
+                at = x.argmin(axis=1)
+                found.append(spots[at] if spots.ndim == 1 else spots[np.arange(sketches), at])
+                x[np.arange(sketches), at] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            best = np.stack(found, axis=1)
+        keys = odd.copy()
+        for column in np.sort(best, axis=1).T:
+            keys = mix(keys * np.uint64(0x100000001B3) + grams[column])
     return keys.view(np.int64)
 
 
