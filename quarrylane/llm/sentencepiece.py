@@ -8,8 +8,8 @@ The public model is of the BPE kind. A best path over its scores (Viterbi) is no
 model, so the fold merges the best-ranked neighbouring pair, step by step; the results equal the library's.
 
 Words are looked up without moving the documents: every split of the input asks for its own distinct words, and the
-answers come back to the split's number. Words of over 60 characters (and words that a re-planned split did not ask for)
-are merged in place by the same rule.
+answers come back to the split's number. Words without an edge, words of over 60 characters and words that a re-planned
+split did not ask for are merged in place by the same rule.
 
 Defined cases: null and empty text have no ids and decode to empty text; characters outside the vocabulary become byte
 pieces; equal rows encode alike; other columns are ignored; an empty table gives an empty result.
@@ -140,13 +140,32 @@ def segmented(asked: DataFrame, pieces: Pieces) -> DataFrame:
     n = F.length("word")
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda s: F.transform(F.sequence(s + 2, F.least(n, s + pieces.widest)), lambda e: F.struct(s.alias("s"), e.alias("e"), F.substring("word", s + 1, e - s).alias("piece")))))
-    edges = words.where(n >= 2).select("word", "_g", F.inline(spans)).join(F.broadcast(table), "piece")
+    edges = words.where(n >= 2).select("word", "splits", F.inline(spans)).join(F.broadcast(table), "piece")
     ends = bit(F.col("s")).bitwiseOR(bit(F.col("e")))
     inner = bit(F.col("e")) - bit(F.col("s") + 1)
-    edges = edges.groupBy("word", "_g").agg(F.collect_list(F.struct("rank", "s", ends.alias("ends"), inner.alias("inner"))).alias("edges"))
-    none = F.array().cast(edges.schema["edges"].dataType)
-    found = words.join(edges, ["word", "_g"], "left").select("word", "splits", fold_merges(n, F.coalesce("edges", none)).alias("cuts"))
-    return found.select(F.explode("splits").alias("split"), "word", "cuts")
+    edges = edges.groupBy("word", "splits").agg(F.collect_list(F.struct("rank", "s", ends.alias("ends"), inner.alias("inner"))).alias("edges"))
+    return edges.select(F.explode("splits").alias("split"), "word", fold_merges(n, F.col("edges")).alias("cuts"))
+
+
+def packed_answers(answers: DataFrame) -> DataFrame:
+    """The answers (word, cuts) of a split as few rows: the words' bytes end to end, their lengths, their cuts."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            words = [w.encode("utf-8", "surrogatepass") for w in f["word"]]
+            yield pd.DataFrame({"words": [b"".join(words)], "lengths": [np.array([len(w) for w in words], "<i4").tobytes()], "cuts": [f["cuts"].to_numpy("<i8").tobytes()]})
+
+    return answers.select("word", "cuts").mapInPandas(each, "words binary, lengths binary, cuts binary")
+
+
+def unpacked(rows: list) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for words, lengths, cuts in rows:
+        at = 0
+        for n, c in zip(np.frombuffer(lengths, "<i4").tolist(), np.frombuffer(cuts, "<i8").tolist(), strict=True):
+            out[bytes(words[at : at + n]).decode("utf-8", "surrogatepass")] = c
+            at += n
+    return out
 
 
 def encoder(pieces: Pieces) -> Callable[[str, dict[str, int]], np.ndarray]:
@@ -165,15 +184,14 @@ def encoder(pieces: Pieces) -> Callable[[str, dict[str, int]], np.ndarray]:
         for w in CHUNK.findall(prepared(text)):
             got = known.get(w)
             if got is None:
-                c = cuts.get(w)
+                c = cuts.pop(w, None)
                 if c is None:
                     pieces_of = merged(w, rank)
                 else:
                     at = [i for i in range(len(w) + 1) if c >> i & 1]
                     pieces_of = [w[a:b] for a, b in zip(at, at[1:], strict=False)]
                 got = of_parts(pieces_of)
-                if len(known) < 500_000:
-                    known[w] = got
+                known[w] = got
             parts.append(got)
         return np.frombuffer(b"".join(parts), "<u4")
 
@@ -194,12 +212,14 @@ def over_documents(docs: DataFrame, pieces: Pieces, emit: Callable[[int, str, np
     n = texts.getNumPartitions()
     if not n:
         return docs.sparkSession.createDataFrame([], schema)
-    answers = segmented(asked_words(docs), pieces).repartitionById(n, "split").select("word", "cuts").rdd
+    answers = packed_answers(segmented(asked_words(docs), pieces).repartitionById(n, "split")).rdd
+    if answers.getNumPartitions() != n:  # adaptive planning drops the exchange when there are no answers
+        answers = docs.sparkSession.sparkContext.parallelize([], n)
 
     def joined(pairs: Iterator[tuple[list, list]]) -> Iterator[tuple]:
         encode = encoder(pieces)
         for documents, words in pairs:
-            cuts, known = {w: c for w, c in words}, {}
+            cuts, known = unpacked(words), {}
             words.clear()
             for doc, text in documents:
                 yield emit(doc, text, encode(text, cuts, known))
