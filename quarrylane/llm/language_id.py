@@ -209,7 +209,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language the network knows with at least that score."""
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("text"))
     return predict(rows, train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_doc.*")
