@@ -130,3 +130,18 @@ def format_aed(value: Column | str) -> Column:
         .when(size >= 1e3, F.format_string("%.0fK", size / 1e3)).otherwise(F.format_string("%.0f", size))
     )
     return F.when(v.isNull(), "N/A").otherwise(F.concat(sign, F.lit("AED "), text))
+
+
+def format_number(value: Column | str) -> Column:
+    return F.coalesce(F.call_function("format_number", col(value), F.lit("#,###,###,##0.###")), F.lit("N/A"))
+
+
+def format_pct(value: Column | str, signed: bool = False) -> Column:
+    v = col(value).cast("double")
+    sign = F.when(v > 0, "+").otherwise("") if signed else F.lit("")
+    return F.when(v.isNull(), "N/A").otherwise(F.concat(sign, F.format_string("%.1f%%", v)))
+
+
+def format_psf(value: Column | str) -> Column:
+    v = col(value).cast("double")
+    return F.when(v.isNull(), "N/A").otherwise(F.format_string("AED %.0f/sqft", v))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylane.functions import metrics, normalize as nz, urls, vocabulary as v
 from quarrylane.operators import incremental as inc
 from quarrylane.operators import pages as pg
-from quarrylane.operators import resolve, similarity, trees
+from quarrylane.operators import medians, resolve, similarity, trees
 from quarrylane.plans import catalogue as cat
 from quarrylane.plans import market
 from quarrylane.plans.market import PRELUDE, STATUSES
@@ -141,3 +141,4 @@ add("page_log_dedupe", lambda t: t("pages").select(F.sha2(F.col("html").cast("bi
 add("event_windows", lambda t: ev.windowed(t("events"), "1 hour"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM events GROUP BY 1, 2")
 add("event_sliding_windows", lambda t: ev.windowed(t("events"), "2 hours", "1 hour").drop("total"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
 add("event_sessions", lambda t: ev.sessions(t("events")).select("user_id", "start", "n"), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s")
+add("bracketed_medians", lambda t: medians.exact_median(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice"), "SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median FROM lineitem GROUP BY 1, 2")

@@ -152,3 +152,10 @@ def test_urls(spark):
 @pytest.mark.parametrize("x,out", [(1.5e9, "AED 1.50B"), (2500000.0, "AED 2.50M"), (-1200.0, "-AED 1K"), (999.0, "AED 999"), (None, "N/A")])
 def test_format_aed(spark, x, out):
     assert value(spark, m.format_aed(num(x))) == out
+
+
+def test_display_helpers(spark):
+    assert value(spark, m.format_number(num(1234567.5))) == "1,234,567.5"
+    assert value(spark, m.format_pct(num(2.34), signed=True)) == "+2.3%"
+    assert value(spark, m.format_psf(num(1500.4))) == "AED 1500/sqft"
+    assert value(spark, m.format_pct(num(None))) == "N/A"
