@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Tags inside a line of text; all others end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose content is no text of the page.
@@ -34,7 +34,10 @@ BAD_TAGS = frozenset("nav header footer aside form menu dialog button fieldset".
 BAD_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside
 nav navbar navigation menu header masthead footer comment comments commentlist respond discussion disqus cookie cookies consent gdpr notice
 notices notification alert popup modal overlay dialog newsletter subscribe subscription signup login share sharing social related recommended
-breadcrumb breadcrumbs pagination pager widget toolbar search form copyright disclaimer skip contentinfo complementary byline replies reply""".split())
+breadcrumb breadcrumbs pagination pager widget toolbar topbar dropdown search form copyright disclaimer skip contentinfo complementary replies reply feedback""".split())
+#: The same inside longer words.
+BAD_PARTS = re.compile(r"sidebar|comments?|cookies?|advert|adsby|footer|navbar|navigation|menu|newsletter|sponsor")
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GOOD_WORDS = frozenset("content article post entry story text main body".split())
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 FEATURES = ("bad_tag", "bad_hint", "in_main", "page_has_main", "good_hint", "heading", "words", "link_density", "words_before", "links_before", "words_after", "links_after")
@@ -95,30 +98,41 @@ def blocks_of(page: str) -> list[Block]:
                 stop = re.compile(rf"</{re.escape(name)}\b[^>]*>" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(page, at)
                 at = stop.end() if stop else size
             continue
-        if name in INLINE:
-            if name == "a":
-                state["link"] = 0 if closing else 1
+        words: set[str] = set()
+        hidden = False
+        for key, value in [] if closing else ATTRIBUTE.findall(attributes):
+            hidden |= key.lower() == "hidden" or key.lower() == "style" and bool(re.search(r"(?i)display\s*:\s*none", value))
+            if key.lower() != "style":
+                words |= {w.lower() for w in WORDS.findall(value)}
+        bad = hidden or bool(words & BAD_WORDS) or any(BAD_PARTS.search(w) for w in words)
+        # an element that names itself as something else is a container too, whatever its tag
+        marked = bad and name not in VOID and name not in ("html", "body", "article", "main")
+        open_marked = closing and name not in CONTAINERS and any(x[0] == name for x in stack)
+        if name == "a":
+            state["link"] = 0 if closing else 1
+        if name in INLINE and not marked and not open_marked:
             continue
         end()
-        state["link"] = state["link"] if name in ("br", "li", "p") else 0
-        state["heading"] = not closing and bool(re.fullmatch(r"h[1-6]", name))
-        if name in CONTAINERS:
-            if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            elif not attributes.endswith("/"):
-                _, bad_tag, bad_hint, in_main, good = stack[-1]
-                words: set[str] = set()
-                for key, value in ATTRIBUTE.findall(attributes):
-                    words |= {"hidden" if key.lower() == "hidden" else "", *(w.lower() for w in WORDS.findall(value))}
-                if name in ("article", "main"):
-                    in_main = True
-                elif name not in ("html", "body"):
-                    bad_hint |= bool(words & BAD_WORDS) or "hidden" in words
-                    good |= bool(words & GOOD_WORDS) and not bad_hint
-                stack.append((name, bad_tag or name in BAD_TAGS, bad_hint, in_main, good))
+        if name not in INLINE:
+            state["link"] = state["link"] if name in ("br", "li", "p") else 0
+            state["heading"] = not closing and bool(re.fullmatch(r"h[1-6]", name))
+            if stack[-1][0] == "p" and name != "br":  # a paragraph ends where the next block begins
+                stack.pop()
+            if not closing and name in ("li", "td", "tr", "dt", "dd", "option") and stack[-1][0] == name:
+                stack.pop()
+        if closing:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == name:
+                    del stack[k:]
+                    break
+        elif (name in CONTAINERS or marked) and not attributes.endswith("/"):
+            _, bad_tag, bad_hint, in_main, good = stack[-1]
+            if name in ("article", "main"):
+                in_main = True
+            elif name not in ("html", "body"):
+                bad_hint |= bad
+                good |= bool(words & GOOD_WORDS) and not bad_hint
+            stack.append((name, bad_tag or name in BAD_TAGS, bad_hint, in_main, good))
     end()
     return out
 
