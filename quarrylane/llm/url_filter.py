@@ -75,6 +75,8 @@ class Features:
             for key in self.keys(url):
                 count.setdefault(key, [1.0, 1.0])[y] += 1
         self.odds = {k: math.log(b / a) for k, (a, b) in count.items()}
+        #: words that tell a class, to be found inside longer ones
+        self.telling = [(k, v) for k, v in sorted(self.odds.items()) if len(k) > 3 and abs(v) > 1.5 and k[0] != "."]
 
     @classmethod
     def host_of(cls, url: str) -> str:
@@ -94,7 +96,7 @@ class Features:
         return [
             len(url), len(host), host.count("."), host.count("-"), path.count("/"), query.count("=") , query.count("&"),
             sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host), entropy(host), entropy(path),
-            self.odds.get(suffix, 0.0), max(odds, default=0.0), sum(odds), url.count("%"),
+            self.odds.get(suffix, 0.0), max(odds, default=0.0), sum(odds), sum(v for k, v in self.telling if k in host),
         ]
 
     def matrix(self, urls: list[str]) -> np.ndarray:
@@ -151,6 +153,15 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-(self.start + sum(self._walk(t, x) for t in self.trees))))
 
 
+def train(labelled: list[tuple[str, int]]) -> tuple[Features, BoostedTrees]:
+    """Features and trees. Each half's word statistics come from the other half while the trees are fitted, so that they
+    learn how far to trust them; the features kept use all rows."""
+    # classes alternate in the table, so rows go by twos
+    a, b = ([r for i, r in enumerate(labelled) if i // 2 % 2 == k] for k in range(2))
+    x = np.concatenate([Features(b).matrix([u for u, _ in a]), Features(a).matrix([u for u, _ in b])])
+    return Features(labelled), BoostedTrees().fit(x, np.array([y for _, y in a + b], float))
+
+
 def host_column(url: Column) -> Column:
     after = F.substring(url, F.instr(url, F.lit("://")) + 3, F.length(url))
     host = F.regexp_extract(after, r"^([^/?#]*)", 1)
@@ -176,9 +187,7 @@ def judge(pages: DataFrame, rules: list | None = None, threshold: float = 0.5, k
     """key, host, path, rule, verdict and the trees' score for every url."""
     rules = RULES if rules is None else rules
     if model is None:
-        labelled = labelled_urls()
-        features = Features(labelled)
-        trees = BoostedTrees().fit(features.matrix([u for u, _ in labelled]), np.array([y for _, y in labelled], float))
+        features, trees = train(labelled_urls())
     else:
         features, trees = model
 

@@ -185,8 +185,7 @@ def test_url_rules(spark, url, host, path, rule, verdict):
 
 def test_url_trees():
     rows = url_filter.labelled_urls()
-    f = url_filter.Features(rows[:2400])
-    m = url_filter.BoostedTrees().fit(f.matrix([u for u, _ in rows[:2400]]), np.array([y for _, y in rows[:2400]], float))
+    f, m = url_filter.train(rows[:2400])
     assert ((m.predict(f.matrix([u for u, _ in rows[2400:]])) > 0.5) == np.array([y for _, y in rows[2400:]])).mean() > 0.85
 
 
