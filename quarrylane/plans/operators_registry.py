@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from quarrylane.functions import metrics, normalize as nz, urls, vocabulary as v
 from quarrylane.operators import incremental as inc
 from quarrylane.operators import pages as pg
-from quarrylane.operators import medians, resolve, similarity, trees
+from quarrylane.operators import medians, resolve, similarity, trees, warehouse
 from quarrylane.plans import catalogue as cat
 from quarrylane.plans import market
 from quarrylane.plans.market import PRELUDE, STATUSES
-from quarrylane.sources import export
+from quarrylane.sources import export, staging
 from quarrylane.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,29 @@ add("event_windows", lambda t: ev.windowed(t("events"), "1 hour"), "SELECT time_
 add("event_sliding_windows", lambda t: ev.windowed(t("events"), "2 hours", "1 hour").drop("total"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
 add("event_sessions", lambda t: ev.sessions(t("events")).select("user_id", "start", "n"), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s")
 add("bracketed_medians", lambda t: medians.exact_median(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice"), "SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median FROM lineitem GROUP BY 1, 2")
+
+
+# -- warehouse --------------------------------------------------------------------------------------------------------
+
+
+def warehouse_rebuild(t: T) -> DataFrame:
+    """Staging rows made from the fact table, built into all warehouse tables; (name, n, total) of the facts and of dim_project."""
+    text = lambda c: F.col(c).cast("string")
+    rows = t("lineitem").join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    lineage = [F.lit("made.csv").alias("source_file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_num"), F.lit("").alias("file_hash"), F.current_timestamp().alias("imported_at")]
+    common = {"AREA_EN": F.col("s_name"), "PROJECT_EN": F.col("p_name"), "MASTER_PROJECT_EN": F.col("p_brand"), "ACTUAL_AREA": text("l_quantity")}
+    sales = common | {"INSTANCE_DATE": F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), "GROUP_EN": F.lit("Sales"), "TRANS_VALUE": text("l_extendedprice"), "ROOMS_EN": F.concat(text("l_linenumber"), F.lit(" B/R")), "PROP_SB_TYPE_EN": F.lit("Flat")}
+    rents = common | {"REGISTRATION_DATE": F.date_format("l_shipdate", "yyyy-MM-dd"), "ANNUAL_AMOUNT": text("l_extendedprice"), "ROOMS": text("l_linenumber"), "VERSION_EN": F.when(F.col("l_returnflag") == "R", "Renewed")}
+    staged = lambda flag, columns, d: rows.where(F.col("l_linestatus") == flag).select(*[d.get(c, F.lit(None).cast("string")).alias(c) for c in columns], *lineage)
+    brands = t("part").select("p_brand").distinct().select(F.substring("p_brand", 7, 4).cast("long").alias("id"), F.col("p_brand").alias("name"))
+    nothing = F.lit(None).cast("string")
+    catalogue = {
+        "areas": t("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), nothing.alias("dld_community_name_en"), nothing.alias("also_known_as")), "developers": brands,
+        "developments": brands.select("id", "name", F.lit(1).cast("long").alias("area_id"), F.col("id").alias("developer_id")), "buildings": brands.where("false").select("id", F.col("id").alias("development_id"), "name"),
+    }
+    tables = warehouse.build(staged("F", staging.SALES.columns, sales), staged("O", staging.RENTALS.columns, rents), catalogue)
+    total = lambda name, c: tables[name].agg(F.count("*").alias("n"), (metrics.money_sum(c) if c else F.lit(None).cast("double")).alias("total")).select(F.lit(name).alias("name"), "n", "total")
+    return total("fact_sales", "trans_value_aed").unionByName(total("fact_rentals", "annual_amount_aed")).unionByName(total("dim_project", None))
+
+
+add("warehouse_rebuild", warehouse_rebuild, f"SELECT 'fact_sales' AS name, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM lineitem WHERE l_linestatus = 'F' UNION ALL SELECT 'fact_rentals', count(*), sum(l_extendedprice::DECIMAL(18,2))::DOUBLE FROM lineitem WHERE l_linestatus = 'O' UNION ALL SELECT 'dim_project', count(DISTINCT {KEY.format(x='p_name')}), NULL FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
