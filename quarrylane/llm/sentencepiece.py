@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import let
+from quarrylane.llm.common import checkpointed, let
 
 BLANK = "▁"
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -148,12 +148,12 @@ def segmented(asked: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def packed_answers(answers: DataFrame) -> DataFrame:
-    """The answers (word, cuts) of a split as few rows: the words' bytes end to end, their lengths, their cuts."""
+    """The answers (word, cuts) of a split as few rows: the words' bytes end to end, their lengths, their cuts; compressed."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             words = [w.encode("utf-8", "surrogatepass") for w in f["word"]]
-            yield pd.DataFrame({"words": [b"".join(words)], "lengths": [np.array([len(w) for w in words], "<i4").tobytes()], "cuts": [f["cuts"].to_numpy("<i8").tobytes()]})
+            yield pd.DataFrame({"words": [zlib.compress(b"".join(words), 1)], "lengths": [np.array([len(w) for w in words], "<i4").tobytes()], "cuts": [zlib.compress(f["cuts"].to_numpy("<i8").tobytes(), 1)]})
 
     return answers.select("word", "cuts").mapInPandas(each, "words binary, lengths binary, cuts binary")
 
@@ -161,9 +161,9 @@ def packed_answers(answers: DataFrame) -> DataFrame:
 def unpacked(rows: list) -> dict[str, int]:
     out: dict[str, int] = {}
     for words, lengths, cuts in rows:
-        at = 0
+        words, cuts, at = zlib.decompress(words), zlib.decompress(cuts), 0
         for n, c in zip(np.frombuffer(lengths, "<i4").tolist(), np.frombuffer(cuts, "<i8").tolist(), strict=True):
-            out[bytes(words[at : at + n]).decode("utf-8", "surrogatepass")] = c
+            out[words[at : at + n].decode("utf-8", "surrogatepass")] = c
             at += n
     return out
 
@@ -212,7 +212,7 @@ def over_documents(docs: DataFrame, pieces: Pieces, emit: Callable[[int, str, np
     n = texts.getNumPartitions()
     if not n:
         return docs.sparkSession.createDataFrame([], schema)
-    answers = packed_answers(segmented(asked_words(docs), pieces).repartitionById(n, "split")).rdd
+    answers = checkpointed(packed_answers(segmented(asked_words(docs), pieces).repartitionById(n, "split"))).rdd
     if answers.getNumPartitions() != n:  # adaptive planning drops the exchange when there are no answers
         answers = docs.sparkSession.sparkContext.parallelize([], n)
 
