@@ -27,7 +27,7 @@ def same_key(a: str, b: str, keys: list[str]) -> Column:
 
 
 def newest(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or keys)))
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
