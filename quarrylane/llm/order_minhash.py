@@ -6,8 +6,8 @@ sketch are candidates. Candidates are aligned: two documents are near when the w
 one. Classes are the connected components of the near pairs.
 
 Equal word sequences are one document from the start. Buckets of at most ``small`` documents compare all their pairs.
-In a larger bucket every document is compared with the first one only; those that are not near it go on to buckets that
-agree in one more sketch, and so on, so no bucket ever emits all pairs and none is cut off.
+In a larger bucket every document is compared with the first one. Where that leaves a bucket in more than one class, the
+documents of different classes are compared in blocks, so no bucket emits all pairs as rows and none is cut off.
 
 Defined cases: null text is empty; documents without a word are in one class only if their texts are equal; rows that
 repeat a doc_id and a text are one document; columns besides doc_id and text are ignored; an empty table gives an empty
@@ -28,11 +28,11 @@ from quarrylane.llm import textkernels as tk
 from quarrylane.llm.common import checkpointed
 from quarrylane.llm.components import components
 
-K, TAKE, SKETCHES, LEAST, SMALL, LEVELS = 5, 2, 16, 0.8, 12, 4
+K, TAKE, SKETCHES, LEAST, SMALL, BLOCK = 5, 2, 16, 0.8, 12, 256
 
 
 def sketches(docs: DataFrame, k: int = K, take: int = TAKE, n: int = SKETCHES) -> DataFrame:
-    """doc_id, a hash of the word sequence (two longs) and the sketch keys."""
+    """doc_id, a hash of the word sequence (two longs), the sketch keys and the number of words."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -41,11 +41,11 @@ def sketches(docs: DataFrame, k: int = K, take: int = TAKE, n: int = SKETCHES) -
                 words = tk.word_hashes(text)
                 own = words.tobytes() if len(words) else b"\0" + text.encode("utf-8", "surrogatepass")
                 h = np.frombuffer(hashlib.md5(own, usedforsecurity=False).digest(), np.int64)
-                rows.append((doc, int(h[0]), int(h[1]), tk.order_minhash(words, k, take, n)))
-            yield pd.DataFrame(rows, columns=["doc_id", "w1", "w2", "keys"]).astype({"doc_id": "Int64"})
+                rows.append((doc, int(h[0]), int(h[1]), tk.order_minhash(words, k, take, n), len(words)))
+            yield pd.DataFrame(rows, columns=["doc_id", "w1", "w2", "keys", "n"]).astype({"doc_id": "Int64"})
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(each, "doc_id long, w1 long, w2 long, keys array<long>")
+    return rows.mapInPandas(each, "doc_id long, w1 long, w2 long, keys array<long>, n int")
 
 
 def words_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -74,50 +74,93 @@ def verified(pairs: DataFrame, words: DataFrame, least: float = LEAST) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInPandas(near, "a long, b long")
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """Buckets (key) of at least two documents, with their first one and their size."""
-    return checkpointed(rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("size")).where("first <> _last").drop("_last"))
-
-
-def near_pairs(reps: DataFrame, docs: DataFrame, small: int = SMALL, levels: int = LEVELS, least: float = LEAST) -> DataFrame:
-    """Near pairs (a < b) of distinct documents (id, keys) that join them to their classes."""
-    rows = reps.select("id", "keys", F.posexplode("keys").alias("at", "key")).withColumn("key", F.xxhash64("at", "key"))
-    tried, near, words = None, None, None
-    for level in range(levels):
-        buckets = _buckets(rows.select("key", "id"))
-        rows = checkpointed(rows.join(buckets, "key"))
-        if words is None:
-            words = checkpointed(words_of(docs, rows.select("id")))
-        few = rows.where(F.col("size") <= small).select("key", "id")
-        all_pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
-        many = rows.where(F.col("size") > small)
-        stars = many.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        pairs = all_pairs.unionByName(stars).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        found = checkpointed(verified(pairs, words, least))
-        near = found if near is None else near.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if level + 1 == levels:
-            break
-        pair_near = near.select(F.col("a").alias("first"), F.col("b").alias("id"))
-        rest = many.where("id <> first").join(pair_near, ["first", "id"], "left_anti").select("key", "id", "keys", "at").distinct()
-        rest = checkpointed(rest)
-        if rest.isEmpty():
-            break
-        more = rest.select("id", "keys", F.col("at").alias("_at"), F.col("key").alias("_key"), F.posexplode("keys").alias("at", "_k")).where("at > _at")
-        rows = more.select("id", "keys", "at", F.xxhash64("_key", "at", "_k").alias("key"))
-    return near
+def _separate(group: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Near pairs between the blocks x and y of one bucket that join documents of different classes.
+
+    A pair is compared in the first sketch it agrees in only. Bags of words, folded to 128 counts, bound the edits from
+    below, so pairs they exclude need no alignment; nor do pairs whose classes an earlier pair of the group has joined.
+    """
+    ids, roots, own = group["id"].to_numpy(), group["root"].tolist(), group["own"].to_numpy()
+    words = [np.frombuffer(w, "<u4") for w in group["words"]]
+    n = np.array([len(w) for w in words])
+    bags = np.stack([np.bincount(w & 127, minlength=128) for w in words]).astype(np.int32)
+    keys, at = np.stack(group["keys"].to_list()), int(group["at"].iloc[0])
+    block, x, y = group["b"].to_numpy(), int(group["x"].iloc[0]), int(group["y"].iloc[0])
+    parent = {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    root = group["root"].to_numpy()
+    pairs = []
+    for i in np.flatnonzero(block == x):
+        j = np.flatnonzero((block == y) & (root != root[i]) & (own | own[i]))
+        if x == y:
+            j = j[j > i]
+        most = np.floor((1 - least) * np.maximum(n[i], n[j]) + 1e-9)
+        j, most = j[(d := np.abs(n[j] - n[i])) <= most], most[d <= most]
+        bound = (np.abs(bags[j] - bags[i]).sum(axis=1) + np.abs(n[j] - n[i])) / 2
+        j, bound = j[(ok := bound <= most)], bound[ok]
+        first = ~(keys[j, :at] == keys[i, :at]).any(axis=1)
+        pairs += zip(bound[first].tolist(), [int(i)] * int(first.sum()), j[first].tolist(), strict=True)
+    out = []
+    for _, i, j in sorted(pairs):
+        u, v = find(roots[i]), find(roots[j])
+        if u != v and tk.alike(words[i], words[j], least):
+            parent[u] = v
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def between_classes(many: DataFrame, near: DataFrame, reps: DataFrame, words: DataFrame, block: int = BLOCK, least: float = LEAST) -> DataFrame:
+    """Near pairs of different classes of ``near`` in large buckets (key, at, id, n).
+
+    Lengths of near documents differ by at most a factor of 1 / least, so each document meets its own length class and the
+    one above. A part of a bucket in one class is settled; elsewhere the documents outside the part's most frequent class
+    are compared with all of the part, block by block.
+    """
+    roots = components(near.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-float(np.log(least))) + 1e-9).cast("int")
+    rows = many.join(roots, F.col("id") == F.col("node"), "left").select("key", "at", "id", F.coalesce("root", "id").alias("root"), size.alias("_c"))
+    parts = checkpointed(rows.select("key", "at", "id", "root", "_c", F.explode(F.array("_c", F.col("_c") + 1)).alias("part")))
+    by_root = parts.groupBy("key", "part", "root").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_c") == F.col("part")).alias("_own"))
+    by_part = by_root.groupBy("key", "part").agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.max_by("root", F.struct("_n", "root")).alias("_major"), F.count(F.lit(1)).alias("_roots"), F.max("_own").alias("_own"))
+    open_ = by_part.where("_roots > 1 and _own")
+    blocks = lambda c: F.greatest(F.ceil(c / block), F.lit(1)).cast("int")
+    rows = parts.join(open_, ["key", "part"]).withColumn("_few", blocks(F.col("_all") - F.col("_most"))).withColumn("_rest", blocks(F.col("_most")))
+    minor, dealt = F.col("root") != F.col("_major"), F.xxhash64("id", F.lit(1))
+    rows = rows.withColumn("b", F.when(minor, F.pmod(dealt, F.col("_few"))).otherwise(F.col("_few") + F.pmod(dealt, F.col("_rest"))).cast("int"))
+    rows = rows.select("key", "part", "at", "id", "root", "b", (F.col("_c") == F.col("part")).alias("own"), F.explode(F.sequence(F.lit(0), F.when(minor, F.col("_few") + F.col("_rest") - 1).otherwise(F.col("_few") - 1))).alias("_o"))
+    rows = rows.select("key", "part", "at", "id", "root", "own", "b", F.least("b", "_o").alias("x"), F.greatest("b", "_o").alias("y"))
+    rows = rows.join(words, "id").join(reps.select("id", "keys"), "id")
+    return rows.groupBy("key", "part", "x", "y").applyInPandas(lambda g: _separate(g, least), "a long, b long")
+
+
+def near_pairs(reps: DataFrame, docs: DataFrame, small: int = SMALL, block: int = BLOCK, least: float = LEAST) -> DataFrame:
+    """Near pairs (a < b) of distinct documents (id, keys, n) that join them to their classes."""
+    rows = reps.select("id", "n", F.posexplode("keys").alias("at", "_k")).select("id", "n", "at", F.xxhash64("at", "_k").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = checkpointed(rows.join(checkpointed(buckets), "key"))
+    few, many = rows.where(F.col("size") <= small).select("key", "id", "n"), rows.where(F.col("size") > small)
+    all_pairs = few.toDF("key", "a", "na").join(few.toDF("key", "b", "nb"), "key").where("a < b").select("a", "b", "na", "nb")
+    stars = many.where("id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
+    # shorter by more than the edits allowed: never near
+    fits = F.abs(F.col("na") - F.col("nb")) <= F.floor((1 - least) * F.greatest("na", "nb") + 1e-9)
+    pairs = checkpointed(all_pairs.unionByName(stars).where(fits).select("a", "b").distinct())
+    words = checkpointed(words_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(many.select("id"))))
+    near = checkpointed(verified(pairs, words, least))
+    return near.unionByName(checkpointed(between_classes(many.select("key", "at", "id", "n"), near, reps, words, block, least)))
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of every document."""
     own = checkpointed(sketches(docs))
     copies = own.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    member = own.join(checkpointed(copies), ["w1", "w2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "keys")
+    member = own.join(checkpointed(copies), ["w1", "w2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "keys", "n")
     member = checkpointed(member)
-    reps = member.where("doc_id = rep").select(F.col("doc_id").alias("id"), "keys").dropDuplicates(["id"])
+    reps = member.where("doc_id = rep").select(F.col("doc_id").alias("id"), "keys", "n").dropDuplicates(["id"])
     near = near_pairs(checkpointed(reps), docs, least=least)
     roots = components(near.select(F.col("b").alias("u"), F.col("a").alias("v")))
     out = member.join(roots, F.col("rep") == F.col("node"), "left")

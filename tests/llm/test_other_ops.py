@@ -247,6 +247,36 @@ def test_near_dedup_finds_planted_copies(spark):
     assert got == {i: firsts[g] for i, g in group.items()}
 
 
+def near_classes(texts):
+    """The least index of each text's class, by comparing all pairs."""
+    words = [tk.word_hashes(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for b in range(len(texts)):
+        for a in range(b):
+            u, v = sorted((find(a), find(b)))
+            if u != v and tk.alike(words[a], words[b], 0.8):
+                root[v] = u
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_near_dedup_hub_of_two_kinds(spark):
+    """Versions with text in front and versions with text at the end are near the original only."""
+    rnd = random.Random(11)
+    fresh = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    base = fresh(100)
+    texts = [" ".join(fresh(20) + base) for _ in range(150)] + [" ".join(base)] + [" ".join(base + fresh(20)) for _ in range(150)]
+    want = near_classes(texts)
+    assert set(want.values()) == {0}
+    got = order_minhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
+
+
 def test_near_dedup_odd_rows(odd_docs, no_docs):
     rows = order_minhash.near_dedup(odd_docs.select("doc_id", "text", "source")).collect()
     by = {r["doc_id"]: r["class_id"] for r in rows}
