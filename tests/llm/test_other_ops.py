@@ -277,6 +277,20 @@ def test_near_dedup_hub_of_two_kinds(spark):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
 
 
+def test_near_dedup_pairs_on_one_template(spark):
+    """Near pairs that agree only in the k-mers of a template all texts are written on."""
+    rnd = random.Random(12)
+    fresh = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    template, texts = fresh(200), []
+    for _ in range(40):
+        own = fresh(60)
+        texts += [" ".join(template + own), " ".join(template + [w if k % 3 else f"y{rnd.randrange(10**6)}" for k, w in enumerate(own)])]
+    want = near_classes(texts)
+    assert want == {i: i - i % 2 for i in range(80)}
+    got = order_minhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
+
+
 def test_near_dedup_odd_rows(odd_docs, no_docs):
     rows = order_minhash.near_dedup(odd_docs.select("doc_id", "text", "source")).collect()
     by = {r["doc_id"]: r["class_id"] for r in rows}
