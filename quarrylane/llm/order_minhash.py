@@ -1,8 +1,8 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-Words are lower-cased runs of letters and digits. A sketch takes the two least k-mers (five words, labelled with their
-occurrence) under its own hash and keeps them in text order, so that it follows edit similarity; documents that share a
-sketch are candidates. Candidates are aligned: two documents are near when the word edits are at most 20 % of the longer
+Words are lower-cased runs of letters and digits. A sketch takes the least k-mers (one of four words, labelled with its
+occurrence) under its own hash and keeps them in text order; documents that share a sketch are candidates. One k-mer a
+sketch and 32 sketches keep candidates likely up to the 20 % of edits that the alignment, which sees the order, accepts. Candidates are aligned: two documents are near when the word edits are at most 20 % of the longer
 one. Classes are the connected components of the near pairs.
 
 Equal word sequences are one document from the start. Buckets of at most ``small`` documents compare all their pairs.
@@ -17,6 +17,7 @@ result. Word sequences are compared by 64-bit and 32-bit word hashes.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from quarrylane.llm import textkernels as tk
 from quarrylane.llm.common import checkpointed
 from quarrylane.llm.components import components
 
-K, TAKE, SKETCHES, LEAST, SMALL, BLOCK = 5, 2, 16, 0.8, 12, 256
+K, TAKE, SKETCHES, LEAST, SMALL, BLOCK = 4, 1, 32, 0.8, 12, 256
 
 
 def sketches(docs: DataFrame, k: int = K, take: int = TAKE, n: int = SKETCHES) -> DataFrame:
@@ -49,16 +50,17 @@ def sketches(docs: DataFrame, k: int = K, take: int = TAKE, n: int = SKETCHES) -
 
 
 def words_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, words): the word sequences, as 32-bit hashes, of the documents asked for (id)."""
+    """(id, words, bag): the word sequences, as 32-bit hashes, of the documents asked for (id), and counts folded to bytes."""
 
     def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             words = [(tk.word_hashes(t) >> np.uint64(32)).astype("<u4").tobytes() for t in f["text"]]
-            yield pd.DataFrame({"id": f["doc_id"], "words": words})
+            bags = [np.minimum(np.bincount(np.frombuffer(w, "<u4") & 127, minlength=128), 255).astype(np.uint8).tobytes() for w in words]
+            yield pd.DataFrame({"id": f["doc_id"], "words": words, "bag": bags})
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = texts.join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return own.dropDuplicates(["doc_id"]).mapInPandas(coded, "id long, words binary")
+    return own.dropDuplicates(["doc_id"]).mapInPandas(coded, "id long, words binary, bag binary")
 
 
 def verified(pairs: DataFrame, words: DataFrame, least: float = LEAST) -> DataFrame:
@@ -74,18 +76,58 @@ def verified(pairs: DataFrame, words: DataFrame, least: float = LEAST) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInPandas(near, "a long, b long")
 
 
+def _open_pairs(x: np.ndarray, y: np.ndarray, b: np.ndarray, root: np.ndarray, own: np.ndarray, n: np.ndarray, bags: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each place i of block x the places j of block y that may be near and are of another class, and bounds of the edits.
+
+    Bags of words, folded to 128 counts of at most 255, bound the edits from below.
+    """
+    for i in np.flatnonzero(b == x):
+        j = np.flatnonzero((b == y) & (root != root[i]) & (own | own[i]))
+        if x[i] == y[i]:
+            j = j[j > i]
+        most = np.floor((1 - least) * np.maximum(n[i], n[j]) + 1e-9)
+        more = np.abs(n[j] - n[i])
+        j, most, more = j[more <= most], most[more <= most], more[more <= most]
+        if len(j):
+            bound = (np.abs(bags[j] - bags[i]).sum(axis=1) + more) / 2
+            yield int(i), j[bound <= most], bound[bound <= most]
+
+
+def _maybe_near(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """The rows of each group (gid; rows of a group are adjacent) that are in an open pair of it."""
+    rest = None
+    for f in itertools.chain(frames, [None]):
+        last = f is None
+        f = rest if last else f if rest is None else pd.concat([rest, f], ignore_index=True)
+        if f is None or not len(f):
+            continue
+        gid = f["gid"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
+        ends = np.append(starts[1:], len(f))
+        if not last:
+            rest = f.iloc[starts[-1] :].reset_index(drop=True)
+            starts, ends = starts[:-1], ends[:-1]
+        columns = [f[c].to_numpy() for c in ("x", "y", "b", "root", "own", "n")]
+        bags, keep = f["bag"].to_numpy(), np.zeros(len(f), bool)
+        for low, high in zip(starts, ends, strict=True):
+            if high - low < 2:
+                continue
+            own_bags = np.frombuffer(b"".join(bags[low:high]), np.uint8).reshape(-1, 128).astype(np.int32)
+            for i, j, _ in _open_pairs(*[c[low:high] for c in columns], own_bags, least):
+                if len(j):
+                    keep[low + i] = keep[low + j] = True
+        yield f.loc[keep].drop(columns=["gid", "bag"])
+
+
 def _separate(group: pd.DataFrame, least: float) -> pd.DataFrame:
     """Near pairs between the blocks x and y of one bucket that join documents of different classes.
 
-    A pair is compared in the first sketch it agrees in only. Bags of words, folded to 128 counts, bound the edits from
-    below, so pairs they exclude need no alignment; nor do pairs whose classes an earlier pair of the group has joined.
+    A pair is compared in the first sketch it agrees in only, and not at all when an earlier pair of the group has joined
+    its classes.
     """
-    ids, roots, own = group["id"].to_numpy(), group["root"].tolist(), group["own"].to_numpy()
-    words = [np.frombuffer(w, "<u4") for w in group["words"]]
-    n = np.array([len(w) for w in words])
-    bags = np.stack([np.bincount(w & 127, minlength=128) for w in words]).astype(np.int32)
-    keys, at = np.stack(group["keys"].to_list()), int(group["at"].iloc[0])
-    block, x, y = group["b"].to_numpy(), int(group["x"].iloc[0]), int(group["y"].iloc[0])
+    ids, roots, at = group["id"].to_numpy(), group["root"].tolist(), int(group["at"].iloc[0])
+    words, keys = [np.frombuffer(w, "<u4") for w in group["words"]], np.stack(group["keys"].to_list())
+    bags = np.frombuffer(b"".join(group["bag"]), np.uint8).reshape(-1, 128).astype(np.int32)
     parent = {r: r for r in roots}
 
     def find(r: int) -> int:
@@ -93,18 +135,10 @@ def _separate(group: pd.DataFrame, least: float) -> pd.DataFrame:
             parent[r] = r = parent[parent[r]]
         return r
 
-    root = group["root"].to_numpy()
     pairs = []
-    for i in np.flatnonzero(block == x):
-        j = np.flatnonzero((block == y) & (root != root[i]) & (own | own[i]))
-        if x == y:
-            j = j[j > i]
-        most = np.floor((1 - least) * np.maximum(n[i], n[j]) + 1e-9)
-        j, most = j[(d := np.abs(n[j] - n[i])) <= most], most[d <= most]
-        bound = (np.abs(bags[j] - bags[i]).sum(axis=1) + np.abs(n[j] - n[i])) / 2
-        j, bound = j[(ok := bound <= most)], bound[ok]
+    for i, j, bound in _open_pairs(*[group[c].to_numpy() for c in ("x", "y", "b", "root", "own", "n")], bags, least):
         first = ~(keys[j, :at] == keys[i, :at]).any(axis=1)
-        pairs += zip(bound[first].tolist(), [int(i)] * int(first.sum()), j[first].tolist(), strict=True)
+        pairs += zip(bound[first].tolist(), [i] * int(first.sum()), j[first].tolist(), strict=True)
     out = []
     for _, i, j in sorted(pairs):
         u, v = find(roots[i]), find(roots[j])
@@ -123,8 +157,8 @@ def between_classes(many: DataFrame, near: DataFrame, reps: DataFrame, words: Da
     """
     roots = components(near.select(F.col("b").alias("u"), F.col("a").alias("v")))
     size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-float(np.log(least))) + 1e-9).cast("int")
-    rows = many.join(roots, F.col("id") == F.col("node"), "left").select("key", "at", "id", F.coalesce("root", "id").alias("root"), size.alias("_c"))
-    parts = checkpointed(rows.select("key", "at", "id", "root", "_c", F.explode(F.array("_c", F.col("_c") + 1)).alias("part")))
+    rows = many.join(roots, F.col("id") == F.col("node"), "left").select("key", "at", "id", "n", F.coalesce("root", "id").alias("root"), size.alias("_c"))
+    parts = checkpointed(rows.select("key", "at", "id", "n", "root", "_c", F.explode(F.array("_c", F.col("_c") + 1)).alias("part")))
     by_root = parts.groupBy("key", "part", "root").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_c") == F.col("part")).alias("_own"))
     by_part = by_root.groupBy("key", "part").agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.max_by("root", F.struct("_n", "root")).alias("_major"), F.count(F.lit(1)).alias("_roots"), F.max("_own").alias("_own"))
     open_ = by_part.where("_roots > 1 and _own")
@@ -132,8 +166,13 @@ def between_classes(many: DataFrame, near: DataFrame, reps: DataFrame, words: Da
     rows = parts.join(open_, ["key", "part"]).withColumn("_few", blocks(F.col("_all") - F.col("_most"))).withColumn("_rest", blocks(F.col("_most")))
     minor, dealt = F.col("root") != F.col("_major"), F.xxhash64("id", F.lit(1))
     rows = rows.withColumn("b", F.when(minor, F.pmod(dealt, F.col("_few"))).otherwise(F.col("_few") + F.pmod(dealt, F.col("_rest"))).cast("int"))
-    rows = rows.select("key", "part", "at", "id", "root", "b", (F.col("_c") == F.col("part")).alias("own"), F.explode(F.sequence(F.lit(0), F.when(minor, F.col("_few") + F.col("_rest") - 1).otherwise(F.col("_few") - 1))).alias("_o"))
-    rows = rows.select("key", "part", "at", "id", "root", "own", "b", F.least("b", "_o").alias("x"), F.greatest("b", "_o").alias("y"))
+    rows = rows.select("key", "part", "at", "id", "n", "root", "b", (F.col("_c") == F.col("part")).alias("own"), F.explode(F.sequence(F.lit(0), F.when(minor, F.col("_few") + F.col("_rest") - 1).otherwise(F.col("_few") - 1))).alias("_o"))
+    rows = rows.select("key", "part", "at", "id", "n", "root", "own", "b", F.least("b", "_o").alias("x"), F.greatest("b", "_o").alias("y"))
+    # only documents that may be near another one of their group meet the words
+    dealt = rows.join(words.select("id", "bag"), "id").withColumn("gid", F.xxhash64("key", "part", "x", "y"))
+    kept = "key long, part int, at int, id long, n int, root long, own boolean, b int, x int, y int"
+    dealt = dealt.select("gid", "key", "part", "at", "id", "n", "root", "own", "b", "x", "y", "bag").repartition("gid").sortWithinPartitions("gid")
+    rows = checkpointed(dealt.mapInPandas(lambda frames: _maybe_near(frames, least), kept))
     rows = rows.join(words, "id").join(reps.select("id", "keys"), "id")
     return rows.groupBy("key", "part", "x", "y").applyInPandas(lambda g: _separate(g, least), "a long, b long")
 

@@ -291,6 +291,21 @@ def test_near_dedup_pairs_on_one_template(spark):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_sketches_reach_the_edits_accepted(spread):
+    rnd = np.random.default_rng(4)
+    hits = 0
+    for _ in range(300):
+        a = rnd.integers(0, 1 << 63, 200, dtype=np.uint64)
+        b = a.copy()
+        at = np.arange(2, 200, 5) if spread else rnd.choice(200, 40, replace=False)
+        b[at] = rnd.integers(0, 1 << 63, 40, dtype=np.uint64)
+        assert tk.alike(a, b, order_minhash.LEAST)
+        x, y = (tk.order_minhash(w, order_minhash.K, order_minhash.TAKE, order_minhash.SKETCHES) for w in (a, b))
+        hits += bool((x == y).any())
+    assert hits / 300 > (0.9 if spread else 0.99)
+
+
 def test_near_dedup_odd_rows(odd_docs, no_docs):
     rows = order_minhash.near_dedup(odd_docs.select("doc_id", "text", "source")).collect()
     by = {r["doc_id"]: r["class_id"] for r in rows}
