@@ -1,17 +1,19 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-Words are lower-cased runs of letters and digits. A sketch takes the least k-mers (one of four words, labelled with its
-occurrence) under its own hash and keeps them in text order; documents that share a sketch are candidates. One k-mer a
-sketch and 32 sketches keep candidates likely up to the 20 % of edits that the alignment, which sees the order, accepts. Candidates are aligned: two documents are near when the word edits are at most 20 % of the longer
-one. Classes are the connected components of the near pairs.
+Words are lower-cased runs of letters and digits. A sketch takes the two least k-mers (three words, labelled with their
+occurrence) under its own hash and keeps them in text order; documents that share one of 48 sketches are candidates. Two
+k-mers a sketch keep a passage that many documents share from bringing all of them together; 48 sketches keep candidates
+likely up to the 20 % of edits that the alignment accepts: two documents are near when the word edits are at most 20 %
+of the longer one. Classes are the connected components of the near pairs.
 
 Equal word sequences are one document from the start. Buckets of at most ``small`` documents compare all their pairs.
 In a larger bucket every document is compared with the first one. Where that leaves a bucket in more than one class, the
 documents of different classes are compared in blocks, so no bucket emits all pairs as rows and none is cut off.
 
 Defined cases: null text is empty; documents without a word are in one class only if their texts are equal; rows that
-repeat a doc_id and a text are one document; columns besides doc_id and text are ignored; an empty table gives an empty
-result. Word sequences are compared by 64-bit and 32-bit word hashes.
+repeat a doc_id and a text are one document; of different texts with one doc_id, one (by hash) stands for the id; columns
+besides doc_id and text are ignored; an empty table gives an empty result. Word sequences are compared by 64-bit and
+32-bit word hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +31,15 @@ from quarrylane.llm import textkernels as tk
 from quarrylane.llm.common import checkpointed
 from quarrylane.llm.components import components
 
-K, TAKE, SKETCHES, LEAST, SMALL, BLOCK = 4, 1, 32, 0.8, 12, 256
+K, TAKE, SKETCHES, LEAST, SMALL = 3, 2, 48, 0.8, 12
+#: At most so many documents, and about so many words, in a block of a large bucket; two blocks meet in one task.
+BLOCK, BLOCK_WORDS = 2048, 1 << 21
+
+
+def sequence_hash(words: np.ndarray, text: str) -> np.ndarray:
+    """Two longs that stand for a word sequence, or for the text where it has no word."""
+    own = words.tobytes() if len(words) else b"\0" + text.encode("utf-8", "surrogatepass")
+    return np.frombuffer(hashlib.md5(own, usedforsecurity=False).digest(), np.int64)
 
 
 def sketches(docs: DataFrame, k: int = K, take: int = TAKE, n: int = SKETCHES) -> DataFrame:
@@ -40,8 +50,7 @@ def sketches(docs: DataFrame, k: int = K, take: int = TAKE, n: int = SKETCHES) -
             rows = []
             for doc, text in zip(f["doc_id"], f["text"], strict=True):
                 words = tk.word_hashes(text)
-                own = words.tobytes() if len(words) else b"\0" + text.encode("utf-8", "surrogatepass")
-                h = np.frombuffer(hashlib.md5(own, usedforsecurity=False).digest(), np.int64)
+                h = sequence_hash(words, text)
                 rows.append((doc, int(h[0]), int(h[1]), tk.order_minhash(words, k, take, n), len(words)))
             yield pd.DataFrame(rows, columns=["doc_id", "w1", "w2", "keys", "n"]).astype({"doc_id": "Int64"})
 
@@ -54,13 +63,16 @@ def words_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
     def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            words = [(tk.word_hashes(t) >> np.uint64(32)).astype("<u4").tobytes() for t in f["text"]]
-            bags = [np.minimum(np.bincount(np.frombuffer(w, "<u4") & 127, minlength=128), 255).astype(np.uint8).tobytes() for w in words]
-            yield pd.DataFrame({"id": f["doc_id"], "words": words, "bag": bags})
+            hashed = [tk.word_hashes(t) for t in f["text"]]
+            own = [sequence_hash(w, t) for w, t in zip(hashed, f["text"], strict=True)]
+            words = [(w >> np.uint64(32)).astype("<u4") for w in hashed]
+            bags = [np.minimum(np.bincount(w & 127, minlength=128), 255).astype(np.uint8).tobytes() for w in words]
+            yield pd.DataFrame({"id": f["doc_id"], "w1": [int(h[0]) for h in own], "w2": [int(h[1]) for h in own], "words": [w.tobytes() for w in words], "bag": bags})
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = texts.join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return own.dropDuplicates(["doc_id"]).mapInPandas(coded, "id long, words binary, bag binary")
+    coded_rows = own.mapInPandas(coded, "id long, w1 long, w2 long, words binary, bag binary")
+    return coded_rows.groupBy("id").agg(F.min_by(F.struct("words", "bag"), F.struct("w1", "w2")).alias("_w")).select("id", "_w.words", "_w.bag")
 
 
 def verified(pairs: DataFrame, words: DataFrame, least: float = LEAST) -> DataFrame:
@@ -156,13 +168,18 @@ def between_classes(many: DataFrame, near: DataFrame, reps: DataFrame, words: Da
     are compared with all of the part, block by block.
     """
     roots = components(near.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-float(np.log(least))) + 1e-9).cast("int")
+    step = -float(np.log(least))
+    size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(step) + 1e-9).cast("int")
     rows = many.join(roots, F.col("id") == F.col("node"), "left").select("key", "at", "id", "n", F.coalesce("root", "id").alias("root"), size.alias("_c"))
-    parts = checkpointed(rows.select("key", "at", "id", "n", "root", "_c", F.explode(F.array("_c", F.col("_c") + 1)).alias("part")))
+    rows = checkpointed(rows)
+    several = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
+    parts = rows.join(several, "key").select("key", "at", "id", "n", "root", "_c", F.explode(F.array("_c", F.col("_c") + 1)).alias("part"))
+    parts = checkpointed(parts)
     by_root = parts.groupBy("key", "part", "root").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_c") == F.col("part")).alias("_own"))
     by_part = by_root.groupBy("key", "part").agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.max_by("root", F.struct("_n", "root")).alias("_major"), F.count(F.lit(1)).alias("_roots"), F.max("_own").alias("_own"))
     open_ = by_part.where("_roots > 1 and _own")
-    blocks = lambda c: F.greatest(F.ceil(c / block), F.lit(1)).cast("int")
+    fit = F.least(F.lit(float(block)), F.greatest(F.lit(32.0), F.floor(BLOCK_WORDS / F.exp((F.col("part") + 1) * step))))
+    blocks = lambda c: F.greatest(F.ceil(c / fit), F.lit(1)).cast("int")
     rows = parts.join(open_, ["key", "part"]).withColumn("_few", blocks(F.col("_all") - F.col("_most"))).withColumn("_rest", blocks(F.col("_most")))
     minor, dealt = F.col("root") != F.col("_major"), F.xxhash64("id", F.lit(1))
     rows = rows.withColumn("b", F.when(minor, F.pmod(dealt, F.col("_few"))).otherwise(F.col("_few") + F.pmod(dealt, F.col("_rest"))).cast("int"))
@@ -197,9 +214,9 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of every document."""
     own = checkpointed(sketches(docs))
     copies = own.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    member = own.join(checkpointed(copies), ["w1", "w2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "keys", "n")
+    member = own.join(checkpointed(copies), ["w1", "w2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "w1", "w2", "keys", "n")
     member = checkpointed(member)
-    reps = member.where("doc_id = rep").select(F.col("doc_id").alias("id"), "keys", "n").dropDuplicates(["id"])
+    reps = member.where("doc_id = rep").groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct("keys", "n"), F.struct("w1", "w2")).alias("_r")).select("id", "_r.keys", "_r.n")
     near = near_pairs(checkpointed(reps), docs, least=least)
     roots = components(near.select(F.col("b").alias("u"), F.col("a").alias("v")))
     out = member.join(roots, F.col("rep") == F.col("node"), "left")

@@ -73,16 +73,17 @@ def occurrences(values: np.ndarray) -> np.ndarray:
 def order_minhash(words: np.ndarray, k: int, take: int, sketches: int, block: int = 1 << 16) -> np.ndarray:
     """One key per sketch: the ``take`` least occurrence-labelled k-mers under the sketch's hash, in text order.
 
-    The labelled k-mers are well-mixed numbers, so a sketch's hash is a product with its own odd number. All sketches run
-    at once over blocks of k-mers; a block's least ones compete with those of the blocks before it.
+    The labelled k-mers are well-mixed numbers of 32 bits, so a sketch's hash is a product with its own odd number. All
+    sketches run at once over blocks of k-mers; a block's least ones compete with those of the blocks before it.
     """
     grams = kmers(words, k)
     n = len(grams)
     if not n:
         return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        labelled = mix(grams + occurrences(grams) * _GOLD)
-        odd = mix(np.arange(1, sketches + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
+        labelled = (mix(grams + occurrences(grams) * _GOLD) >> np.uint64(32)).astype(np.uint32)
+        wide = mix(np.arange(1, sketches + 1, dtype=np.uint64) * _GOLD)
+        odd = (wide >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         best = np.full((sketches, 0), 0)
         for low in range(0, n, block):
             spots = np.arange(low, min(n, low + block))
@@ -95,9 +96,9 @@ def order_minhash(words: np.ndarray, k: int, take: int, sketches: int, block: in
             for _ in range(min(take, x.shape[1])):
                 at = x.argmin(axis=1)
                 found.append(spots[at] if spots.ndim == 1 else spots[np.arange(sketches), at])
-                x[np.arange(sketches), at] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                x[np.arange(sketches), at] = np.uint32(0xFFFFFFFF)
             best = np.stack(found, axis=1)
-        keys = odd.copy()
+        keys = wide
         for column in np.sort(best, axis=1).T:
             keys = mix(keys * np.uint64(0x100000001B3) + grams[column])
     return keys.view(np.int64)
