@@ -1,14 +1,16 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-Words are lower-cased runs of letters and digits. A sketch takes the two least k-mers (three words, labelled with their
-occurrence) under its own hash and keeps them in text order; documents that share one of 48 sketches are candidates. Two
-k-mers a sketch keep a passage that many documents share from bringing all of them together; 48 sketches keep candidates
-likely up to the 20 % of edits that the alignment accepts: two documents are near when the word edits are at most 20 %
-of the longer one. Classes are the connected components of the near pairs.
+Words are lower-cased runs of letters and digits. A sketch takes the three least k-mers (two words, labelled with their
+occurrence) under its own hash and keeps them in text order; documents that share one of 48 sketches are candidates.
+Three k-mers a sketch keep a passage that many documents share from bringing all of them together; 48 sketches keep
+candidates likely up to the 20 % of edits that the alignment accepts: two documents are near when the word edits are at
+most 20 % of the longer one. Classes are the connected components of the near pairs.
 
 Equal word sequences are one document from the start. Buckets of at most ``small`` documents compare all their pairs.
-In a larger bucket every document is compared with the first one. Where that leaves a bucket in more than one class, the
-documents of different classes are compared in blocks, so no bucket emits all pairs as rows and none is cut off.
+Near documents have lengths of one length class or of neighbouring ones. In a larger bucket every document is compared
+with the shortest one of its length class and of the class below. Where that leaves neighbouring length classes of a
+bucket in more than one class, the documents of different classes are compared in blocks, so no bucket emits all pairs
+as rows and none is cut off.
 
 Defined cases: null text is empty; documents without a word are in one class only if their texts are equal; rows that
 repeat a doc_id and a text are one document; of different texts with one doc_id, one (by hash) stands for the id; columns
@@ -24,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm import textkernels as tk
 from quarrylane.llm.common import checkpointed
 from quarrylane.llm.components import components
 
-K, TAKE, SKETCHES, LEAST, SMALL = 3, 2, 48, 0.8, 12
+K, TAKE, SKETCHES, LEAST, SMALL = 2, 3, 48, 0.8, 12
 #: At most so many documents, and about so many words, in a block of a large bucket; two blocks meet in one task.
 BLOCK, BLOCK_WORDS = 2048, 1 << 21
 
@@ -160,17 +162,20 @@ def _separate(group: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def length_class(n: Column, least: float) -> Column:
+    """Near documents are in one class or in neighbouring ones: their lengths differ by a factor of 1 / least at most."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(-float(np.log(least))) + 1e-9).cast("int")
+
+
 def between_classes(many: DataFrame, near: DataFrame, reps: DataFrame, words: DataFrame, block: int = BLOCK, least: float = LEAST) -> DataFrame:
     """Near pairs of different classes of ``near`` in large buckets (key, at, id, n).
 
-    Lengths of near documents differ by at most a factor of 1 / least, so each document meets its own length class and the
-    one above. A part of a bucket in one class is settled; elsewhere the documents outside the part's most frequent class
+    Each document meets its own length class and the one above. A part of a bucket in one class is settled; elsewhere the documents outside the part's most frequent class
     are compared with all of the part, block by block.
     """
     roots = components(near.select(F.col("b").alias("u"), F.col("a").alias("v")))
     step = -float(np.log(least))
-    size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(step) + 1e-9).cast("int")
-    rows = many.join(roots, F.col("id") == F.col("node"), "left").select("key", "at", "id", "n", F.coalesce("root", "id").alias("root"), size.alias("_c"))
+    rows = many.join(roots, F.col("id") == F.col("node"), "left").select("key", "at", "id", "n", F.coalesce("root", "id").alias("root"), length_class(F.col("n"), least).alias("_c"))
     rows = checkpointed(rows)
     several = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
     parts = rows.join(several, "key").select("key", "at", "id", "n", "root", "_c", F.explode(F.array("_c", F.col("_c") + 1)).alias("part"))
@@ -197,11 +202,14 @@ def between_classes(many: DataFrame, near: DataFrame, reps: DataFrame, words: Da
 def near_pairs(reps: DataFrame, docs: DataFrame, small: int = SMALL, block: int = BLOCK, least: float = LEAST) -> DataFrame:
     """Near pairs (a < b) of distinct documents (id, keys, n) that join them to their classes."""
     rows = reps.select("id", "n", F.posexplode("keys").alias("at", "_k")).select("id", "n", "at", F.xxhash64("at", "_k").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = checkpointed(rows.join(checkpointed(buckets), "key"))
     few, many = rows.where(F.col("size") <= small).select("key", "id", "n"), rows.where(F.col("size") > small)
     all_pairs = few.toDF("key", "a", "na").join(few.toDF("key", "b", "nb"), "key").where("a < b").select("a", "b", "na", "nb")
-    stars = many.where("id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
+    own = length_class(F.col("n"), least)
+    heads = checkpointed(many.groupBy("key", own.alias("_c")).agg(F.min(F.struct("n", "id")).alias("head")))
+    asked = many.select("key", "id", "n", F.explode(F.array(own, own - 1)).alias("_c")).join(heads, ["key", "_c"]).where("id <> head.id")
+    stars = asked.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb"))
     # shorter by more than the edits allowed: never near
     fits = F.abs(F.col("na") - F.col("nb")) <= F.floor((1 - least) * F.greatest("na", "nb") + 1e-9)
     pairs = checkpointed(all_pairs.unionByName(stars).where(fits).select("a", "b").distinct())
