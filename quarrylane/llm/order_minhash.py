@@ -167,13 +167,12 @@ def length_class(n: Column, least: float) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(-float(np.log(least))) + 1e-9).cast("int")
 
 
-def between_classes(many: DataFrame, near: DataFrame, reps: DataFrame, words: DataFrame, block: int = BLOCK, least: float = LEAST) -> DataFrame:
-    """Near pairs of different classes of ``near`` in large buckets (key, at, id, n).
+def between_classes(many: DataFrame, roots: DataFrame, reps: DataFrame, words: DataFrame, block: int = BLOCK, least: float = LEAST) -> DataFrame:
+    """Near pairs of different classes (node, root) in large buckets (key, at, id, n).
 
     Each document meets its own length class and the one above. A part of a bucket in one class is settled; elsewhere the documents outside the part's most frequent class
-    are compared with all of the part, block by block.
+    are compared with all of the part, block by block; a part that fits into one block is one.
     """
-    roots = components(near.select(F.col("b").alias("u"), F.col("a").alias("v")))
     step = -float(np.log(least))
     rows = many.join(roots, F.col("id") == F.col("node"), "left").select("key", "at", "id", "n", F.coalesce("root", "id").alias("root"), length_class(F.col("n"), least).alias("_c"))
     rows = checkpointed(rows)
@@ -185,8 +184,9 @@ def between_classes(many: DataFrame, near: DataFrame, reps: DataFrame, words: Da
     open_ = by_part.where("_roots > 1 and _own")
     fit = F.least(F.lit(float(block)), F.greatest(F.lit(32.0), F.floor(BLOCK_WORDS / F.exp((F.col("part") + 1) * step))))
     blocks = lambda c: F.greatest(F.ceil(c / fit), F.lit(1)).cast("int")
-    rows = parts.join(open_, ["key", "part"]).withColumn("_few", blocks(F.col("_all") - F.col("_most"))).withColumn("_rest", blocks(F.col("_most")))
-    minor, dealt = F.col("root") != F.col("_major"), F.xxhash64("id", F.lit(1))
+    rows = parts.join(open_.withColumn("_one", F.col("_all") <= fit), ["key", "part"])
+    rows = rows.withColumn("_few", blocks(F.col("_all") - F.col("_most"))).withColumn("_rest", F.when(F.col("_one"), 0).otherwise(blocks(F.col("_most"))))
+    minor, dealt = F.col("_one") | (F.col("root") != F.col("_major")), F.xxhash64("id", F.lit(1))
     rows = rows.withColumn("b", F.when(minor, F.pmod(dealt, F.col("_few"))).otherwise(F.col("_few") + F.pmod(dealt, F.col("_rest"))).cast("int"))
     rows = rows.select("key", "part", "at", "id", "n", "root", "b", (F.col("_c") == F.col("part")).alias("own"), F.explode(F.sequence(F.lit(0), F.when(minor, F.col("_few") + F.col("_rest") - 1).otherwise(F.col("_few") - 1))).alias("_o"))
     rows = rows.select("key", "part", "at", "id", "n", "root", "own", "b", F.least("b", "_o").alias("x"), F.greatest("b", "_o").alias("y"))
@@ -199,8 +199,8 @@ def between_classes(many: DataFrame, near: DataFrame, reps: DataFrame, words: Da
     return rows.groupBy("key", "part", "x", "y").applyInPandas(lambda g: _separate(g, least), "a long, b long")
 
 
-def near_pairs(reps: DataFrame, docs: DataFrame, small: int = SMALL, block: int = BLOCK, least: float = LEAST) -> DataFrame:
-    """Near pairs (a < b) of distinct documents (id, keys, n) that join them to their classes."""
+def near_roots(reps: DataFrame, docs: DataFrame, small: int = SMALL, block: int = BLOCK, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Classes of distinct documents (id, keys, n) as two tables (node, root): of documents, then of the first one's roots."""
     rows = reps.select("id", "n", F.posexplode("keys").alias("at", "_k")).select("id", "n", "at", F.xxhash64("at", "_k").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = checkpointed(rows.join(checkpointed(buckets), "key"))
@@ -214,21 +214,23 @@ def near_pairs(reps: DataFrame, docs: DataFrame, small: int = SMALL, block: int
     fits = F.abs(F.col("na") - F.col("nb")) <= F.floor((1 - least) * F.greatest("na", "nb") + 1e-9)
     pairs = checkpointed(all_pairs.unionByName(stars).where(fits).select("a", "b").distinct())
     words = checkpointed(words_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(many.select("id"))))
-    near = checkpointed(verified(pairs, words, least))
-    return near.unionByName(checkpointed(between_classes(many.select("key", "at", "id", "n"), near, reps, words, block, least)))
+    roots = components(verified(pairs, words, least).select(F.col("b").alias("u"), F.col("a").alias("v")))
+    more = between_classes(many.select("key", "at", "id", "n"), roots, reps, words, block, least)
+    for end in ("a", "b"):
+        more = more.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
+    return roots, components(more.select(F.coalesce("_a", "a").alias("u"), F.coalesce("_b", "b").alias("v")))
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of every document."""
     own = checkpointed(sketches(docs))
-    copies = own.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    member = own.join(checkpointed(copies), ["w1", "w2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "w1", "w2", "keys", "n")
-    member = checkpointed(member)
+    copies = checkpointed(own.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    member = own.join(copies, ["w1", "w2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "w1", "w2", "keys", "n")
     reps = member.where("doc_id = rep").groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct("keys", "n"), F.struct("w1", "w2")).alias("_r")).select("id", "_r.keys", "_r.n")
-    near = near_pairs(checkpointed(reps), docs, least=least)
-    roots = components(near.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    out = member.join(roots, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"))
+    roots, again = near_roots(checkpointed(reps), docs, least=least)
+    out = member.select("doc_id", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep", "doc_id").alias("_c"))
+    out = out.join(again, F.col("_c") == F.col("node"), "left")
+    return out.select("doc_id", F.coalesce("root", "_c").alias("class_id"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -237,6 +239,6 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose class has an earlier one."""
+    """docs without the documents whose class has an earlier one; documents without an id stay."""
     gone = near_dedup(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
