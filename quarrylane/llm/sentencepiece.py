@@ -1,15 +1,19 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-Distinct words are exploded into their substrings of bounded length, joined with the piece table, and the edges that are
-pieces are grouped by word. A Spark higher-order aggregate folds each word's edges into its segmentation, kept as one
-long: bit i says that a piece begins or ends at character i. Documents then look their words up.
+A border between two characters that no piece has side by side is never crossed, so texts are cut there first. Distinct
+words (what is between such borders, two characters or more) are exploded into their substrings of bounded length, joined
+with the piece table, and the edges that are pieces are grouped by word. A Spark higher-order aggregate folds each word's
+edges into its segmentation, kept as one long: bit i says that a piece begins or ends at character i. Documents then look
+their words up.
 
-The public model is of the BPE kind. A best path over its scores (Viterbi) is not what the library gives for such a
-model, so the fold merges the best-ranked neighbouring pair, step by step; the results equal the library's.
+Two folds: ``viterbi`` takes the path of the greatest sum of scores, as unigram models do. The public model is of the BPE
+kind, for which a best path over its scores is not what the library gives; there ``merges`` joins the best-ranked
+neighbouring pair, step by step, and the results equal the library's.
 
 Words are looked up without moving the documents: every split of the input asks for its own distinct words, and the
-answers come back to the split's number. Words without an edge, words of over 60 characters and words that a re-planned
-split did not ask for are merged in place by the same rule.
+answers come back to the split's number, packed and compressed. Within a split words are told apart by 64-bit hashes.
+Words of over 60 characters (a long holds no more borders), words without an edge and words that a re-planned split did
+not ask for are segmented in place by the same rule.
 
 Defined cases: null and empty text have no ids and decode to empty text; characters outside the vocabulary become byte
 pieces; equal rows encode alike; other columns are ignored; an empty table gives an empty result.
@@ -17,6 +21,7 @@ pieces; equal rows encode alike; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -28,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm.common import checkpointed, let
+from quarrylane.llm.textkernels import mix
 
 BLANK = "▁"
-CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 LONGEST = 60
+#: Characters that are cut at a time.
+AT_ONCE = 1 << 20
 
 
 @dataclass
@@ -99,130 +106,295 @@ def prepared(text: str) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
 
-def asked_words(docs: DataFrame) -> DataFrame:
-    """(split, word): the distinct words of at most LONGEST characters of every input split."""
+def best_path(word: str, scores: dict[str, float], unknown: float) -> list[str]:
+    """The pieces of the path of the greatest sum of scores; single characters that are no piece count ``unknown``."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        best.append(max((best[s][0] + scores.get(word[s:e], unknown if e - s == 1 else -1e30), -s) for s in range(e)))
+    out, e = [], len(word)
+    while e:
+        s = -best[e][1]
+        out.append(word[s:e])
+        e = s
+    return out[::-1]
+
+
+class Cutter:
+    """Cuts texts into words at the borders that no piece crosses, with a 64-bit hash for every word, in array operations."""
+
+    def __init__(self, pieces: Pieces):
+        pairs = {(a, b) for p in pieces.rank for a, b in zip(p, p[1:], strict=False)}
+        chars = sorted({c for pair in pairs for c in pair})
+        self.place = np.zeros(0x110000, np.int32)
+        self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        self.joined = np.zeros(self.width * self.width, bool)
+        for a, b in pairs:
+            self.joined[self.place[ord(a)] * self.width + self.place[ord(b)]] = True
+        with np.errstate(over="ignore"):
+            self.power = mix(np.arange(1, 1 << 16, dtype=np.uint64)) | np.uint64(1)
+
+    def hashes(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A hash of every run of characters that begins at a start."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        at = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+        with np.errstate(over="ignore"):
+            return mix(np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * self.power[at % len(self.power)], starts))
+
+    def cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """The prepared texts end to end, their characters, the words' starts and for each text its first word (and the end)."""
+        own = [prepared(t) for t in texts]
+        whole = "".join(own)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.concatenate(([0], np.cumsum([len(t) for t in own]))).astype(np.int64)
+        place = self.place[codes]
+        opens = np.ones(len(codes) + 1, bool)
+        if len(codes):
+            opens[1:-1] = ~self.joined[place[:-1] * self.width + place[1:]]
+        opens[edges] = True
+        starts = np.flatnonzero(opens[:-1])
+        return whole, codes, starts, np.searchsorted(starts, edges)
+
+
+def batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about AT_ONCE characters."""
+    low = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= AT_ONCE:
+            yield low, k + 1
+            low, size = k + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
+def asked_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """(split, word): the distinct words of 2 to LONGEST characters of every input split."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: set[str] = set()
-        split = 0
+        cutter, known = Cutter(pieces), np.zeros(0, np.uint64)
         for f in frames:
-            for k, text in zip(f["split"], f["text"], strict=True):
-                split = k
-                found.update(w for w in CHUNK.findall(prepared(text)) if len(w) <= LONGEST)
-        words = list(found)
-        for k in range(0, len(words), 50_000):
-            yield pd.DataFrame({"split": split, "word": words[k : k + 50_000]})
+            texts = f["text"].tolist()
+            for low, high in batches(texts):
+                whole, codes, starts, _ = cutter.cut(texts[low:high])
+                ends = np.append(starts[1:], len(codes))
+                mine = (ends - starts >= 2) & (ends - starts <= LONGEST)
+                h, at = np.unique(cutter.hashes(codes, starts)[mine], return_index=True)
+                new = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h if len(known) else np.ones(len(h), bool)
+                at = np.flatnonzero(mine)[at[new]]
+                known = np.sort(np.concatenate((known, h[new])))
+                yield pd.DataFrame({"split": f["split"].iloc[0], "word": [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]})
 
     rows = docs.select(F.spark_partition_id().alias("split"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(each, "split int, word string")
 
 
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
 def fold_merges(n: Column, edges: Column) -> Column:
-    """Borders of a word of n characters as bits, from its edges (rank, start, ends, inner).
+    """Borders of a word of n characters as bits, from its edges (order, ends, inner, s, e, score).
 
     Every step removes the inner border of the best edge that spans exactly two neighbours.
     """
-    start = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - F.lit(1).cast("long")
+    start = _bit(n + 1) - F.lit(1).cast("long")
 
     def step(cuts: Column, _: Column) -> Column:
         fits = lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
         best = F.array_min(F.filter(edges, fits))
         return let(best, lambda b: F.when(b.isNull(), cuts).otherwise(cuts.bitwiseAND(F.bitwise_not(b["inner"]))))
 
-    return F.when(n < 2, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)
+
+
+def fold_viterbi(n: Column, edges: Column, unknown: float) -> Column:
+    """Borders of the path of the greatest sum of scores; of equal sums the one whose last piece is longest.
+
+    The state holds the best sum and the start of its last piece for every character border so far; then the path is
+    followed back from the end.
+    """
+
+    def way(state: Column, s: Column, score: Column) -> Column:
+        total = F.coalesce(F.get(state, s)["sum"] + score, F.lit(float("-inf")))
+        return F.named_struct(F.lit("sum"), total, F.lit("back"), F.coalesce(-s, F.lit(0)))
+
+    def best(state: Column, e: Column) -> Column:
+        ways = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: way(state, x["s"], x["score"]))
+        alone = F.when(F.exists(edges, lambda x: (x["e"] == e) & (x["s"] == e - 1)), F.lit(float("-inf"))).otherwise(F.lit(unknown))
+        top = F.array_max(F.concat(ways, F.array(way(state, e - 1, alone))))
+        return F.named_struct(F.lit("sum"), F.coalesce(top["sum"], F.lit(float("-inf"))), F.lit("back"), F.coalesce(top["back"], F.lit(0)))
+
+    first = F.array(F.named_struct(F.lit("sum"), F.lit(0.0), F.lit("back"), F.lit(0)))
+    states = F.aggregate(F.sequence(F.lit(1), n), first, lambda state, e: F.concat(state, F.array(best(state, e))))
+    pair = lambda at, cuts: F.named_struct(F.lit("at"), F.coalesce(at, F.lit(0)), F.lit("cuts"), F.coalesce(cuts, F.lit(0).cast("long")))
 
+    def back(states: Column) -> Column:
+        step = lambda path, _: F.when(path["at"] == 0, path).otherwise(let(-F.get(states, path["at"])["back"], lambda s: pair(s, path["cuts"].bitwiseOR(_bit(s)))))
+        return F.aggregate(F.sequence(F.lit(1), n), pair(n, _bit(n)), step)["cuts"]
 
-def segmented(asked: DataFrame, pieces: Pieces) -> DataFrame:
-    """(split, word, cuts): the lattice over distinct words. The piece table is as large as the vocabulary and no larger."""
+    return let(states, back)
+
+
+def segmented(asked: DataFrame, pieces: Pieces, fold: str = "merges", scores: dict[str, float] | None = None, unknown: float = -20.0) -> DataFrame:
+    """(split, word, cuts): the lattice over distinct words of up to LONGEST characters.
+
+    The piece table is as large as the vocabulary and no larger. Substrings meet it by hash; matches are compared.
+    """
     spark = asked.sparkSession
-    table = spark.createDataFrame([(p, r) for p, r in pieces.rank.items() if len(p) > 1], "piece string, rank int")
+    rows = [(p, r, 0.0) for p, r in pieces.rank.items() if len(p) > 1] if fold == "merges" else [(p, 0, float(x)) for p, x in (scores or {}).items()]
+    table = spark.createDataFrame(rows, "piece string, rank int, score double").withColumn("h", F.xxhash64("piece"))
+    least, widest = 2 if fold == "merges" else 1, max((len(r[0]) for r in rows), default=1)
     words = asked.repartition("word").groupBy("word", F.floor(F.col("split") / 4096).alias("_g")).agg(F.collect_list("split").alias("splits"))
     n = F.length("word")
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda s: F.transform(F.sequence(s + 2, F.least(n, s + pieces.widest)), lambda e: F.struct(s.alias("s"), e.alias("e"), F.substring("word", s + 1, e - s).alias("piece")))))
-    edges = words.where(n >= 2).select("word", "splits", F.inline(spans)).join(F.broadcast(table), "piece")
-    ends = bit(F.col("s")).bitwiseOR(bit(F.col("e")))
-    inner = bit(F.col("e")) - bit(F.col("s") + 1)
-    edges = edges.groupBy("word", "splits").agg(F.collect_list(F.struct("rank", "s", ends.alias("ends"), inner.alias("inner"))).alias("edges"))
-    return edges.select(F.explode("splits").alias("split"), "word", fold_merges(n, F.col("edges")).alias("cuts"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - least), lambda s: F.transform(F.sequence(s + least, F.least(n, s + widest)), lambda e: F.struct(s.alias("s"), e.alias("e"), F.xxhash64(F.substring("word", s + 1, e - s)).alias("h")))))
+    edges = words.where(n >= 2).select("word", "_g", "splits", F.inline(spans)).join(F.broadcast(table), "h")
+    edges = edges.where(F.col("piece") == F.expr("substring(word, s + 1, e - s)"))
+    ends, inner = _bit(F.col("s")).bitwiseOR(_bit(F.col("e"))), _bit(F.col("e")) - _bit(F.col("s") + 1)
+    edge = F.struct((F.col("rank") * 64 + F.col("s")).alias("order"), ends.alias("ends"), inner.alias("inner"), *(["s", "e", "score"] if fold != "merges" else []))
+    edges = edges.groupBy("word", "_g").agg(F.any_value("splits").alias("splits"), F.collect_list(edge).alias("edges"))
+    cuts = fold_merges(n, F.col("edges")) if fold == "merges" else fold_viterbi(n, F.col("edges"), unknown)
+    return edges.select(F.explode("splits").alias("split"), "word", cuts.alias("cuts"))
 
 
 def packed_answers(answers: DataFrame) -> DataFrame:
-    """The answers (word, cuts) of a split as few rows: the words' bytes end to end, their lengths, their cuts; compressed."""
+    """The answers (word, cuts) of a split as few rows: the words end to end, their lengths, their cuts; compressed."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            words = [w.encode("utf-8", "surrogatepass") for w in f["word"]]
-            yield pd.DataFrame({"words": [zlib.compress(b"".join(words), 1)], "lengths": [np.array([len(w) for w in words], "<i4").tobytes()], "cuts": [zlib.compress(f["cuts"].to_numpy("<i8").tobytes(), 1)]})
+            words = f["word"].tolist()
+            yield pd.DataFrame({"words": [zlib.compress("".join(words).encode("utf-8", "surrogatepass"), 1)], "lengths": [np.array([len(w) for w in words], np.uint8).tobytes()], "cuts": [zlib.compress(f["cuts"].to_numpy("<i8").tobytes(), 1)]})
 
     return answers.select("word", "cuts").mapInPandas(each, "words binary, lengths binary, cuts binary")
 
 
-def unpacked(rows: list) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for words, lengths, cuts in rows:
-        words, cuts, at = zlib.decompress(words), zlib.decompress(cuts), 0
-        for n, c in zip(np.frombuffer(lengths, "<i4").tolist(), np.frombuffer(cuts, "<i8").tolist(), strict=True):
-            out[words[at : at + n].decode("utf-8", "surrogatepass")] = c
-            at += n
-    return out
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """doc_id and text of every split as compressed batches, so that no split's texts are in memory at once."""
 
-
-def encoder(pieces: Pieces) -> Callable[[str, dict[str, int]], np.ndarray]:
-    """A function from a text and its split's words (word to cuts) to the text's ids."""
-    ids, byte_ids, rank = pieces.ids, pieces.byte_ids, pieces.rank
-
-    def of_parts(parts: Iterable[str]) -> bytes:
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ids, texts = [None if pd.isna(i) else int(i) for i in f["doc_id"]], f["text"].tolist()
+            for low, high in batches(texts):
+                yield pd.DataFrame({"batch": [zlib.compress(pickle.dumps((ids[low:high], texts[low:high])), 1)]})
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "batch binary")
+
+
+class Encoder:
+    """Texts to ids in array operations, given the segmentations of a split's words."""
+
+    def __init__(self, pieces: Pieces, answers: Iterable[tuple[bytes, bytes, bytes]] = ()):
+        self.pieces, self.cutter = pieces, Cutter(pieces)
+        names = list(pieces.ids)
+        codes, starts = self._codes(names)
+        h = self.cutter.hashes(codes, starts)
+        order = np.argsort(h)
+        self.piece_hash, self.piece_id = h[order], np.array([pieces.ids[p] for p in names], np.uint32)[order]
+        parts = [self._segmented(*row) for row in answers]
+        h = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
+        count, flat = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)]), np.concatenate([np.zeros(0, np.uint32), *(p[2] for p in parts)])
+        order = np.argsort(h)
+        self.known, self.count, self.first, self.flat = h[order], count[order], (np.cumsum(count) - count)[order], flat
+
+    @staticmethod
+    def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(w) for w in words], np.int64)
+        return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(lengths) - lengths
+
+    def _ids_of_parts(self, parts: list[str]) -> list[int]:
         out: list[int] = []
         for p in parts:
-            k = ids.get(p)
-            out += [k] if k is not None else [byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
-        return np.array(out, "<u4").tobytes()
-
-    def encode(text: str, cuts: dict[str, int], known: dict[str, bytes]) -> np.ndarray:
-        parts = []
-        for w in CHUNK.findall(prepared(text)):
-            got = known.get(w)
-            if got is None:
-                c = cuts.pop(w, None)
-                if c is None:
-                    pieces_of = merged(w, rank)
-                else:
-                    at = [i for i in range(len(w) + 1) if c >> i & 1]
-                    pieces_of = [w[a:b] for a, b in zip(at, at[1:], strict=False)]
-                got = of_parts(pieces_of)
-                known[w] = got
-            parts.append(got)
-        return np.frombuffer(b"".join(parts), "<u4")
-
-    return encode
-
-
-def decoded(ids: Iterable[int], pieces: Pieces) -> str:
-    """The text of a sequence of ids: bytes joined, blanks restored, the leading one dropped; broken bytes become U+FFFD."""
-    value = {k: bytes([b]) for b, k in enumerate(pieces.byte_ids)}
-    text = b"".join(value[i] if i in value else pieces.texts[i].encode() for i in map(int, ids)).decode("utf-8", "replace").replace(BLANK, " ")
-    return text[1:] if text.startswith(" ") else text
+            k = self.pieces.ids.get(p)
+            out += [k] if k is not None else [self.pieces.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
+        return out
+
+    def _segmented(self, words: bytes, lengths: bytes, cuts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and number of ids of every word of a packed row, and the ids end to end."""
+        whole = zlib.decompress(words).decode("utf-8", "surrogatepass")
+        codes, n = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(lengths, np.uint8).astype(np.int64)
+        c, starts = np.frombuffer(zlib.decompress(cuts), "<i8"), np.cumsum(n) - n
+        at = np.arange(len(codes)) - np.repeat(starts, n)
+        opens = (np.repeat(c, n) >> at) & 1 == 1
+        heads = np.flatnonzero(opens)
+        h, count = self.cutter.hashes(codes, heads), np.add.reduceat(opens.astype(np.int64), starts)
+        k = np.minimum(np.searchsorted(self.piece_hash, h), len(self.piece_hash) - 1)
+        found = self.piece_hash[k] == h
+        ids = self.piece_id[k]
+        if not found.all():  # characters that are no piece: bytes in their place
+            tails = np.append(heads[1:], len(codes))
+            per = [[int(i)] if ok else self._ids_of_parts([whole[a:b]]) for i, ok, a, b in zip(ids, found, heads.tolist(), tails.tolist(), strict=True)]
+            sizes = np.array([len(x) for x in per], np.int64)
+            count = np.add.reduceat(sizes, np.cumsum(count) - count)
+            ids = np.array([i for x in per for i in x], np.uint32)
+        return self.cutter.hashes(codes, starts), count, ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for low, high in batches(texts):
+            whole, codes, starts, firsts = self.cutter.cut(texts[low:high])
+            if not len(starts):
+                out += [np.zeros(0, np.uint32)] * (high - low)
+                continue
+            h, index = np.unique(self.cutter.hashes(codes, starts), return_inverse=True)
+            some = np.zeros(len(h), np.int64)
+            some[index] = np.arange(len(index))
+            k = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+            found = self.known[k] == h if len(self.known) else np.zeros(len(h), bool)
+            count, first, flat = np.where(found, self.count[k], 0) if len(self.known) else np.zeros(len(h), np.int64), self.first[k] if len(self.known) else np.zeros(len(h), np.int64), [self.flat]
+            size = len(self.flat)
+            for j in np.flatnonzero(~found).tolist():  # single characters, and words that were not asked for
+                a = int(starts[some[j]])
+                b = int(starts[some[j] + 1]) if some[j] + 1 < len(starts) else len(codes)
+                word = whole[a:b]
+                ids = np.array(self._ids_of_parts([word] if b - a == 1 else merged(word, self.pieces.rank)), np.uint32)
+                count[j], first[j] = len(ids), size
+                size += len(ids)
+                flat.append(ids)
+            flat_ids, c = np.concatenate(flat) if len(flat) > 1 else self.flat, count[index]
+            ends = np.cumsum(c)
+            ids = flat_ids[np.repeat(first[index] - (ends - c), c) + np.arange(ends[-1])]
+            upto = np.concatenate(([0], ends))[firsts]
+            out += [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        return out
+
+
+class Decoder:
+    """Ids to texts: bytes joined, blanks restored, the leading one dropped; broken bytes become U+FFFD."""
+
+    def __init__(self, pieces: Pieces):
+        value = {k: bytes([b]) for b, k in enumerate(pieces.byte_ids)}
+        each = [value[i] if i in value else t.encode() for i, t in enumerate(pieces.texts)]
+        self.size = np.array([len(x) for x in each], np.int64)
+        self.first, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(each), np.uint8)
+
+    def text(self, ids: np.ndarray) -> str:
+        if not len(ids):
+            return ""
+        c = self.size[ids]
+        ends = np.cumsum(c)
+        text = self.flat[np.repeat(self.first[ids] - (ends - c), c) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace").replace(BLANK, " ")
+        return text[1:] if text.startswith(" ") else text
 
 
 def over_documents(docs: DataFrame, pieces: Pieces, emit: Callable[[int, str, np.ndarray], tuple], schema: str) -> DataFrame:
-    """emit(doc_id, text, ids) of every document. Splits of documents and of answers meet by number."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = rows.rdd
+    """emit(doc_id, text, ids) of every document. Splits of documents and of answers meet by number, both packed."""
+    texts = packed_documents(docs).rdd
     n = texts.getNumPartitions()
     if not n:
         return docs.sparkSession.createDataFrame([], schema)
-    answers = checkpointed(packed_answers(segmented(asked_words(docs), pieces).repartitionById(n, "split"))).rdd
+    answers = checkpointed(packed_answers(segmented(asked_words(docs, pieces), pieces).repartitionById(n, "split"))).rdd
     if answers.getNumPartitions() != n:  # adaptive planning drops the exchange when there are no answers
         answers = docs.sparkSession.sparkContext.parallelize([], n)
 
     def joined(pairs: Iterator[tuple[list, list]]) -> Iterator[tuple]:
-        encode = encoder(pieces)
         for documents, words in pairs:
-            cuts, known = unpacked(words), {}
+            encoder = Encoder(pieces, words)
             words.clear()
-            for doc, text in documents:
-                yield emit(doc, text, encode(text, cuts, known))
+            for (packed,) in documents:
+                ids, own = pickle.loads(zlib.decompress(packed))
+                for doc, text, codes in zip(ids, own, encoder.encode(own), strict=True):
+                    yield emit(doc, text, codes)
 
     return docs.sparkSession.createDataFrame(texts.glom().zip(answers.glom()).mapPartitions(joined), schema, verifySchema=False)
 
@@ -238,7 +410,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: decoded([] if x is None else x, pieces))
+        decoder = Decoder(pieces)
+        return ids.map(lambda x: decoder.text(np.array([] if x is None else x, np.int64)))
 
     return encoded.select("doc_id", text_of("ids").alias("text"))
 
@@ -246,8 +419,9 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids) and whether decoding gives the text back."""
     pieces = load_pieces(path)
+    decoder = Decoder(pieces)
 
     def row(doc: int, text: str, ids: np.ndarray) -> tuple:
-        return doc, len(ids), zlib.crc32(ids.tobytes()), decoded(ids.tolist(), pieces) == text.replace(BLANK, " ")
+        return doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), decoder.text(ids) == text.replace(BLANK, " ")
 
     return over_documents(docs, pieces, row, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")

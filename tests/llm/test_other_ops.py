@@ -97,13 +97,48 @@ def test_sentencepiece_equals_library(spark, docs, odd_docs, no_docs):
 
 def test_lattice_equals_merging(spark, docs):
     pieces = sentencepiece.load_pieces(MODEL)
-    rows = sentencepiece.segmented(sentencepiece.asked_words(docs.limit(40)), pieces).collect()
+    rows = sentencepiece.segmented(sentencepiece.asked_words(docs.limit(40), pieces), pieces).collect()
     assert len(rows) > 500
     for r in rows:
         at = [i for i in range(len(r["word"]) + 1) if r["cuts"] >> i & 1]
         assert [r["word"][a:b] for a, b in zip(at, at[1:])] == sentencepiece.merged(r["word"], pieces.rank)
 
 
+def test_viterbi_fold_finds_the_best_path(spark):
+    """The fold of a unigram table against all segmentations of every word."""
+    rnd = random.Random(6)
+    scores = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))): -rnd.random() * 9 for _ in range(40)}
+    scores.pop("b", None)
+    words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(2, 9))) for _ in range(150)})
+    asked = spark.createDataFrame([(k % 3, w) for k, w in enumerate(words)], "split int, word string")
+    pieces = sentencepiece.Pieces({}, {}, [], [], 0)
+    got = {r["word"]: r["cuts"] for r in sentencepiece.segmented(asked, pieces, "viterbi", scores, -12.0).collect()}
+    value = lambda parts: sum(scores.get(p, -12.0 if len(p) == 1 else -1e30) for p in parts)
+
+    def every(word):
+        return [[word]] + [[word[:k], *rest] for k in range(1, len(word)) for rest in every(word[k:])] if word else [[]]
+
+    assert got.keys() == {w for w in words if any(p in w for p in scores)}
+    for w, cuts in got.items():
+        at = [i for i in range(len(w) + 1) if cuts >> i & 1]
+        parts = [w[a:b] for a, b in zip(at, at[1:])]
+        assert at[0] == 0 and at[-1] == len(w) and abs(value(parts) - max(map(value, every(w)))) < 1e-9
+        assert abs(value(sentencepiece.best_path(w, scores, -12.0)) - value(parts)) < 1e-9
+
+
+def test_encoder_without_answers_equals_library():
+    import sentencepiece as library
+
+    m = library.SentencePieceProcessor(model_file=MODEL)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("aBé ß .,!?'~-09\n\t²漢😀▁ the ing") for _ in range(rnd.randint(0, 40))) for _ in range(400)] + ["", " ", "a" * 300, "x  y   z "]
+    pieces = sentencepiece.load_pieces(MODEL)
+    got = sentencepiece.Encoder(pieces).encode(texts)
+    assert [g.tolist() for g in got] == m.encode(texts)
+    decoder = sentencepiece.Decoder(pieces)
+    assert [decoder.text(g) for g in got] == [t.replace("▁", " ") for t in texts]
+
+
 # -- classifiers ------------------------------------------------------------------------------------------------------
 
 
