@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ from quarrylane.llm.textkernels import mix
 BLANK = "▁"
 LONGEST = 60
 #: Characters that are cut at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 @dataclass
@@ -172,10 +172,10 @@ def batches(texts: list[str]) -> Iterator[tuple[int, int]]:
 def asked_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(split, word): the distinct words of 2 to LONGEST characters of every input split."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = Cutter(pieces), np.zeros(0, np.uint64)
         for f in frames:
-            texts = f["text"].tolist()
+            split, texts = f.column("split")[0].as_py() if f.num_rows else 0, f.column("text").to_pylist()
             for low, high in batches(texts):
                 whole, codes, starts, _ = cutter.cut(texts[low:high])
                 ends = np.append(starts[1:], len(codes))
@@ -184,10 +184,11 @@ def asked_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 new = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h if len(known) else np.ones(len(h), bool)
                 at = np.flatnonzero(mine)[at[new]]
                 known = np.sort(np.concatenate((known, h[new])))
-                yield pd.DataFrame({"split": f["split"].iloc[0], "word": [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]})
+                words = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                yield pa.record_batch({"split": pa.array(np.full(len(words), split, np.int32)), "word": pa.array(words, pa.string())})
 
     rows = docs.select(F.spark_partition_id().alias("split"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(each, "split int, word string")
+    return rows.mapInArrow(each, "split int, word string")
 
 
 def _bit(i: Column) -> Column:
@@ -261,24 +262,26 @@ def segmented(asked: DataFrame, pieces: Pieces, fold: str = "merges", scores: di
 def packed_answers(answers: DataFrame) -> DataFrame:
     """The answers (word, cuts) of a split as few rows: the words end to end, their lengths, their cuts; compressed."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            words = f["word"].tolist()
-            yield pd.DataFrame({"words": [zlib.compress("".join(words).encode("utf-8", "surrogatepass"), 1)], "lengths": [np.array([len(w) for w in words], np.uint8).tobytes()], "cuts": [zlib.compress(f["cuts"].to_numpy("<i8").tobytes(), 1)]})
+            words = f.column("word").to_pylist()
+            lengths = np.array([len(w) for w in words], np.uint8).tobytes()
+            cuts = f.column("cuts").to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+            yield pa.record_batch({"words": [zlib.compress("".join(words).encode(), 1)], "lengths": [lengths], "cuts": [zlib.compress(cuts, 1)]})
 
-    return answers.select("word", "cuts").mapInPandas(each, "words binary, lengths binary, cuts binary")
+    return answers.select("word", "cuts").mapInArrow(each, "words binary, lengths binary, cuts binary")
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
     """doc_id and text of every split as compressed batches, so that no split's texts are in memory at once."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            ids, texts = [None if pd.isna(i) else int(i) for i in f["doc_id"]], f["text"].tolist()
+            ids, texts = f.column("doc_id").to_pylist(), f.column("text").to_pylist()
             for low, high in batches(texts):
-                yield pd.DataFrame({"batch": [zlib.compress(pickle.dumps((ids[low:high], texts[low:high])), 1)]})
+                yield pa.record_batch({"batch": [zlib.compress(pickle.dumps((ids[low:high], texts[low:high])), 1)]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "batch binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "batch binary")
 
 
 class Encoder:
@@ -408,12 +411,13 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of encoded documents."""
     pieces = load_pieces(path)
 
-    @F.pandas_udf("string")
-    def text_of(ids: pd.Series) -> pd.Series:
+    def texts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(pieces)
-        return ids.map(lambda x: decoder.text(np.array([] if x is None else x, np.int64)))
+        for f in frames:
+            own = [decoder.text(np.array(ids or [], np.int64)) for ids in f.column("ids").to_pylist()]
+            yield pa.record_batch({"doc_id": f.column("doc_id"), "text": pa.array(own, pa.string())})
 
-    return encoded.select("doc_id", text_of("ids").alias("text"))
+    return encoded.select("doc_id", "ids").mapInArrow(texts, "doc_id long, text string")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
