@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylane.llm.common import OTHER_SPACE, let
+from quarrylane.llm.common import OTHER_SPACE, checkpointed, let
 
 NEAR_FROM = 20
 SEGMENTS = 16
@@ -100,7 +100,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     both = texts.join(asked.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
     pick = let(lines_of(F.col("text")), lambda x: F.transform("_asked", lambda a: F.struct(a["h1"], a["h2"], a["line_no"], compared(F.get(x, a["line_no"])).alias("line"))))
-    lines = both.select("doc_id", F.inline(pick)).where(F.xxhash64("line") == F.col("h1"))
+    lines = checkpointed(both.select("doc_id", F.inline(pick)).where(F.xxhash64("line") == F.col("h1")))
     segments = lines.select("h1", "h2", "doc_id", "line_no", F.inline(_segments(F.col("line"))))
     left = _shared(segments, "key")
     rows = left.select("h1", "doc_id", "line_no", "h2", "seg", F.inline(_variants(F.col("full"), F.col("key"), F.col("seg"))))
@@ -117,7 +117,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     """docs with ``text`` deduplicated, plus n_lines and n_kept (lines with a word)."""
-    distinct = _distinct(docs, near_from)
+    distinct = checkpointed(_distinct(docs, near_from))
     kept = distinct.select("h1", "h2", "doc_id", "line_no").join(near_lines(docs, distinct), ["h1", "h2"], "left_anti")
     kept = kept.groupBy("doc_id").agg(F.collect_set("line_no").alias("_kept")).withColumnRenamed("doc_id", "_id")
     both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
