@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import checkpointed, let
+from quarrylane.llm.common import arrow_batches, checkpointed, let
 from quarrylane.llm.textkernels import mix
 
 BLANK = "▁"
@@ -382,11 +382,12 @@ class Decoder:
 
 def over_documents(docs: DataFrame, pieces: Pieces, emit: Callable[[int, str, np.ndarray], tuple], schema: str) -> DataFrame:
     """emit(doc_id, text, ids) of every document. Splits of documents and of answers meet by number, both packed."""
-    texts = packed_documents(docs).rdd
-    n = texts.getNumPartitions()
-    if not n:
-        return docs.sparkSession.createDataFrame([], schema)
-    answers = checkpointed(packed_answers(segmented(asked_words(docs, pieces), pieces).repartitionById(n, "split"))).rdd
+    with arrow_batches(docs.sparkSession):
+        texts = packed_documents(docs).rdd
+        n = texts.getNumPartitions()
+        if not n:
+            return docs.sparkSession.createDataFrame([], schema)
+        answers = checkpointed(packed_answers(segmented(asked_words(docs, pieces), pieces).repartitionById(n, "split"))).rdd
     if answers.getNumPartitions() != n:  # adaptive planning drops the exchange when there are no answers
         answers = docs.sparkSession.sparkContext.parallelize([], n)
 
