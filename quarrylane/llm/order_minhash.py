@@ -206,10 +206,14 @@ def near_roots(reps: DataFrame, docs: DataFrame, small: int = SMALL, block: int
     rows = checkpointed(rows.join(checkpointed(buckets), "key"))
     few, many = rows.where(F.col("size") <= small).select("key", "id", "n"), rows.where(F.col("size") > small)
     all_pairs = few.toDF("key", "a", "na").join(few.toDF("key", "b", "nb"), "key").where("a < b").select("a", "b", "na", "nb")
-    own = length_class(F.col("n"), least)
-    heads = checkpointed(many.groupBy("key", own.alias("_c")).agg(F.min(F.struct("n", "id")).alias("head")))
-    asked = many.select("key", "id", "n", F.explode(F.array(own, own - 1)).alias("_c")).join(heads, ["key", "_c"]).where("id <> head.id")
-    stars = asked.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb"))
+    many = many.withColumn("_c", length_class(F.col("n"), least))
+    heads = many.groupBy("key", "_c").agg(F.min(F.struct("n", "id")).alias("head"))
+    none = F.lit(None).cast("struct<n:int,id:bigint>")
+    both = heads.select("key", "_c", F.col("head").alias("own"), none.alias("below")).unionByName(heads.select("key", (F.col("_c") + 1).alias("_c"), none.alias("own"), F.col("head").alias("below")))
+    heads = checkpointed(both.groupBy("key", "_c").agg(F.max("own").alias("own"), F.max("below").alias("below")))
+    asked = checkpointed(many.select("key", "id", "n", "_c").join(heads, ["key", "_c"]).select("id", "n", "own", "below"))
+    star = lambda h: asked.where(f"id <> {h}.id").select(F.least("id", f"{h}.id").alias("a"), F.greatest("id", f"{h}.id").alias("b"), F.col("n").alias("na"), F.col(f"{h}.n").alias("nb"))
+    stars = star("own").unionByName(star("below"))
     # shorter by more than the edits allowed: never near
     fits = F.abs(F.col("na") - F.col("nb")) <= F.floor((1 - least) * F.greatest("na", "nb") + 1e-9)
     pairs = checkpointed(all_pairs.unionByName(stars).where(fits).select("a", "b").distinct())
