@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quarrylane.functions import normalize as nz
 from quarrylane.operators import similarity
+from quarrylane.operators.lineage import settled
 
 HIGH, LOW = 90.0, 75.0
 #: Up to so many candidates, every key is scored against all of them inside one vectorised function.
@@ -131,8 +132,8 @@ def dim_area(raw_names: DataFrame, areas: DataFrame, subs: DataFrame | None = No
     community_key is s and the catalogue id where there is one, else a and the area id.
     """
     names = raw_names.where("name is not null").groupBy(nz.canonical_key("name").alias("key")).agg(F.min("name").alias("dld_area_name")).where("key <> ''")
-    m = match(names, area_candidates(areas, subs), overrides)
-    own = _numbered(names.join(m, "key"), "key", "area_id")
+    m = match(names, settled(area_candidates(areas, subs)), overrides)
+    own = settled(_numbered(names.join(m, "key"), "key", "area_id"))
     only = areas.select("id", "name", nz.canonical_key("name").alias("key")).join(own.select(F.col("matched_id").alias("id")).where("id is not null").distinct(), "id", "left_anti")
     start = own.agg(F.coalesce(F.max("area_id"), F.lit(0)).alias("_m"))
     only = _numbered(only, "id", "_k").join(start, F.lit(True)).select((F.col("_k") + F.col("_m")).alias("area_id"), F.lit(None).cast("string").alias("dld_area_name"), "key", F.col("id").cast("long").alias("matched_id"), F.lit("scraped_only").alias("confidence"), F.lit(None).cast("double").alias("score"))
@@ -150,7 +151,8 @@ def dim_project(raw: DataFrame, developments: DataFrame, buildings: DataFrame, o
     rows = raw.where("name is not null").withColumn("key", nz.canonical_key("name")).where("key <> ''")
     rows = first_by(rows, ["key"], F.asc_nulls_last("name"), F.asc_nulls_last("master")).withColumn("mkey", nz.canonical_key("master"))
     devs, built = project_candidates(developments, buildings)
-    own = resolve_projects(rows, devs, built, overrides)
+    rows, devs, built = settled(rows), settled(devs), settled(built)
+    own = settled(resolve_projects(rows, devs, built, overrides))
     open_ = own.where("development_id is null").join(rows.select("key", "mkey"), "key").where("mkey <> ''")
     by_master = resolve_projects(open_.select(F.col("mkey").alias("key")).distinct(), devs, built).where("development_id is not null")
     by_master = by_master.select(F.col("key").alias("mkey"), F.col("development_id").alias("_d"), F.col("building_id").alias("_b"), F.col("confidence").alias("_c"), F.col("score").alias("_s"))

@@ -1,4 +1,4 @@
-"""Staging to facts and dimensions as one lazy plan; only the row counts come to the driver."""
+"""Staging to facts and dimensions. Dimensions are settled before facts use them; only row counts come to the driver."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.functions import normalize as nz
 from quarrylane.operators import resolve
+from quarrylane.operators.lineage import settled
 
 
 def _keys(staged: DataFrame, area: DataFrame, project: DataFrame) -> DataFrame:
@@ -56,16 +57,15 @@ def build(sales: DataFrame, rentals: DataFrame, catalogue: dict[str, DataFrame],
     own = overrides or {}
     names = sales.select(F.col("AREA_EN").alias("name")).union(rentals.select("AREA_EN")).distinct()
     pairs = sales.select(F.col("PROJECT_EN").alias("name"), F.col("MASTER_PROJECT_EN").alias("master")).union(rentals.select("PROJECT_EN", "MASTER_PROJECT_EN")).distinct()
-    area = resolve.dim_area(names, catalogue["areas"], catalogue.get("sub_communities"), own.get("area"))
-    project, master = resolve.hierarchy(resolve.dim_project(pairs, catalogue["developments"], catalogue["buildings"], own.get("project")), own.get("master"))
+    area = settled(resolve.dim_area(settled(names), catalogue["areas"], catalogue.get("sub_communities"), own.get("area")))
+    project, master = map(settled, resolve.hierarchy(settled(resolve.dim_project(settled(pairs), catalogue["developments"], catalogue["buildings"], own.get("project"))), own.get("master")))
     s, r = fact_sales(sales, area, project), fact_rentals(rentals, area, project)
     master = resolve.enrich_masters(master, s, r, project, area, catalogue["developments"], catalogue["developers"])
     return {"dim_area": area, "dim_project": project, "dim_master_project": master, "fact_sales": s, "fact_rentals": r}
 
 
 def write_all(tables: dict[str, DataFrame], out: str) -> dict[str, int]:
-    """Every table written over the old one, facts partitioned by month; returns the row counts. Dimensions are read back
-    from what was written before facts that need them are computed anew."""
+    """Every table written over the old one, facts partitioned by month; returns the row counts."""
     counts = {}
     for name, df in tables.items():
         writer = df

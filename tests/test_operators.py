@@ -106,7 +106,6 @@ def test_staging(spark, extracts, tmp_path_factory):
         staging.import_file(spark, str(extracts / "odd.csv"), out)
 
 
-@pytest.mark.skip(reason="open: the build recomputes dimensions and takes minutes; not seen to pass in this round")
 def test_warehouse(spark, extracts, tmp_path_factory):
     sales = staging.stage(spark, [str(extracts / "a.csv"), str(extracts / "b.csv")], staging.SALES)
     rentals = staging.stage(spark, [str(extracts / "r.csv")], staging.RENTALS)
