@@ -41,7 +41,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The classifiers cannot be written in SQL; tests hold the pipeline against brute-force stages.
+#: The classifiers cannot be written in SQL; tests check every stage's columns and that what stays is distinct.
 ORACLE_SQL = None
 
 
