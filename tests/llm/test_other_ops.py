@@ -326,6 +326,20 @@ def test_near_dedup_pairs_on_one_template(spark):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
 
 
+def test_near_dedup_recall_behind_a_shared_passage(spark):
+    """All 60 texts share 60 of their 100 words; the versions change every fourth of the other 40."""
+    rnd = random.Random(13)
+    fresh = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    passage, texts = fresh(60), []
+    for _ in range(30):
+        own = fresh(40)
+        texts += [" ".join(passage + own), " ".join(passage + [w if k % 4 else f"y{rnd.randrange(10**6)}" for k, w in enumerate(own)])]
+    want = near_classes(texts)
+    assert want == {i: i - i % 2 for i in range(60)}
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] in (i, want[i]) for i in got) and sum(got[i] == got[i + 1] for i in range(0, 60, 2)) >= 27
+
+
 @pytest.mark.parametrize("spread", [False, True])
 def test_sketches_reach_the_edits_accepted(spread):
     rnd = np.random.default_rng(4)
