@@ -82,8 +82,8 @@ add("oversupply_metric", lambda t: part(t, metrics.oversupply_risk(*_ud()).alias
 
 # -- resolution and search --------------------------------------------------------------------------------------------
 _pert = lambda: F.concat(F.substring("p_name", 1, 3), F.substring("p_name", 5, 200))
-add("fuzzy_match", lambda t: resolve.match(t("part").where("p_partkey <= 200").select(nz.canonical_key(_pert()).alias("key")), t("part").where("p_partkey <= 200").groupBy(nz.canonical_key("p_name").alias("key")).agg(F.min("p_partkey").alias("id"))))
-add("exact_match", lambda t: resolve.match(t("supplier").select(nz.canonical_key("s_name").alias("key")), t("supplier").where("s_suppkey % 2 = 0").groupBy(nz.canonical_key("s_name").alias("key")).agg(F.min("s_suppkey").alias("id"))).where("confidence = 'exact'"), f"SELECT key, min(s_suppkey) AS matched_id, 'exact' AS confidence, 100.0::DOUBLE AS score FROM (SELECT {KEY.format(x='s_name')} AS key, s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY key")
+add("fuzzy_match", lambda t: resolve.match(t("part").select(nz.canonical_key(_pert()).alias("key")), t("part").groupBy(nz.canonical_key("p_name").alias("key")).agg(F.min("p_partkey").alias("id"))))
+add("exact_match", lambda t: resolve.match(t("supplier").select(nz.canonical_key("s_name").alias("key")), t("supplier").groupBy(nz.canonical_key("s_name").alias("key")).agg(F.min("s_suppkey").alias("id"))).where("confidence = 'exact'"), f"SELECT key, min(s_suppkey) AS matched_id, 'exact' AS confidence, 100.0::DOUBLE AS score FROM (SELECT {KEY.format(x='s_name')} AS key, s_suppkey FROM supplier) GROUP BY key")
 add("token_sort_scores", lambda t: t("part").select("p_partkey", similarity.token_sort(F.lower("p_name"), F.lower("p_type")).alias("score")))
 _cands = lambda t: t("part").select(nz.canonical_key("p_name").alias("key"), F.col("p_name").alias("name"), F.lit("building").alias("kind")).unionByName(t("part").select(nz.canonical_key("p_brand").alias("key"), F.col("p_brand").alias("name"), F.lit("master").alias("kind")).distinct())
 add("search_rank", lambda t: resolve.rank_search("brand 11", _cands(t)))

@@ -212,3 +212,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").agg(F.sum("n")).first()[0] == spark.read.parquet(src).count()
+
+
+def test_fuzzy_match_query_against_brute_force(spark):
+    """The registered query over the whole table: every key's score is that of its best candidate."""
+    from quarrylane.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    names = {r[0] for r in spark.read.parquet(f"{d}/part.parquet").select(nz.canonical_key("p_name")).distinct().collect()}
+    rows = registry.QUERIES["fuzzy_match"](spark, d).collect()
+    assert len(rows) == len({r["key"] for r in rows}) > 10
+    for r in rows:
+        best = 100.0 if r["key"] in names else max(similarity.token_sort_ratio(r["key"], x) for x in names)
+        assert abs(r["score"] - best) < 1e-9
+        assert r["confidence"] == ("exact" if r["key"] in names else "fuzzy_high" if best >= 90 else "fuzzy_low" if best >= 75 else "unmatched")
