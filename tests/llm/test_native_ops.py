@@ -4,6 +4,7 @@ import glob
 import hashlib
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -94,6 +95,19 @@ def test_fingerprints_edited_and_next(spark, docs):
     assert sum(g["near_edited"] for g in got.values()) / len(got) > 0.6 > 0.3 > sum(g["near_next"] for g in got.values()) / len(got)
 
 
+def test_ranges_hold_with_an_outlier_and_a_hot_id(spark):
+    """One far id does not gather all others in a range, and an id of a third of all rows is spread; next rows stay right."""
+    ids = [*range(2000), 10**15, *[None] * 1000]
+    df = spark.createDataFrame([(d, f"text {k} of many") for k, d in enumerate(ids)], "doc_id long, text string")
+    keyed = df.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_at"), F.xxhash64("text").alias("_tie"))
+    order = [r["text"] for r in sorted(keyed.collect(), key=lambda r: (r["_at"], r["_tie"]))]
+    rows = simhash.with_next(df).where("not _ghost").collect()
+    assert {r["text"]: r["_next"] for r in rows} == dict(zip(order, order[1:] + order[:1], strict=True)) and len(rows) == len(ids)
+    sizes = Counter(r["_range"] for r in rows)
+    assert len(sizes) > 20 and max(sizes.values()) < 400
+    assert len({r["_range"] for r in rows if r["doc_id"] is None}) > 5
+
+
 def test_votes(spark):
     """Every bit is the majority over the terms, with the terms of the whole text."""
     text = " ".join(f"w{i % 13}" for i in range(40))
