@@ -233,7 +233,8 @@ def word_to_int(c: Column | str) -> Column:
 
 def elapsed(start: Column | str, end: Column | str) -> Column:
     s = F.unix_timestamp(col(end)) - F.unix_timestamp(col(start))
-    return F.when(s.isNotNull(), F.format_string("%dm %ds", F.floor(s / 60), s % 60))
+    minutes, hours = F.format_string("%dm %ds", F.floor(s / 60), s % 60), F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s % 3600 / 60))
+    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, minutes).when(s.isNotNull(), hours)
 
 
 def content_hash(c: Column | str) -> Column:

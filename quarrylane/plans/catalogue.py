@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.functions.normalize import elapsed
@@ -33,8 +33,7 @@ def overview(developments: DataFrame, **others: DataFrame) -> DataFrame:
 def status_breakdown(developments: DataFrame, areas: DataFrame | None = None, area_id: int | None = None) -> DataFrame:
     """Counts of all eight statuses, zeros included; a missing status is other. With an area, over its subtree."""
     if area_id is not None:
-        ids = closure(areas).where(F.col("root") == area_id).select(F.col("node").alias("area_id"))
-        developments = developments.join(ids, "area_id", "left_semi")
+        developments = in_area(developments, areas, area_id)
     domain = developments.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
     n = developments.groupBy(F.coalesce("normalized_status", F.lit("other")).alias("status")).agg(F.count("*").alias("n"))
     return domain.join(n, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
@@ -46,56 +45,88 @@ def coverage(rows: DataFrame, fields: list[str]) -> DataFrame:
     return counts.select(F.expr(f"stack({len(fields)}, " + ", ".join(f"'{f}', {f}_p, {f}_m" for f in fields) + ") as (field, present, missing)"))
 
 
-def recent_changes(log: DataFrame, kinds: tuple[str, ...], limit: int = 20) -> DataFrame:
-    return log.where(F.col("change_kind").isin(*kinds)).orderBy(F.desc("detected_at"), F.desc("id")).limit(limit)
+def recent_changes(log: DataFrame, kinds: tuple[str, ...] = ("field_changed", "disappeared"), limit: int = 25) -> DataFrame:
+    return log.where(F.col("change_kind").isin(*kinds)).orderBy(F.desc("id")).limit(limit)
 
 
-def crawl_health(pages: DataFrame, errors: DataFrame, queue: DataFrame) -> DataFrame:
-    a = pages.agg(F.count("*").alias("pages"), F.countDistinct("content_hash").alias("distinct_pages"), F.max("fetched_at").alias("last_fetch"))
-    b = errors.agg(F.count("*").alias("errors"))
-    c = queue.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "blocked").alias("blocked"))
-    return a.join(b, F.lit(True), "left").join(c, F.lit(True), "left")
+def recent_discoveries(log: DataFrame, limit: int = 25) -> DataFrame:
+    return recent_changes(log, ("new_record",), limit)
+
+
+def crawl_health(budget: DataFrame, errors: DataFrame, areas: DataFrame, places: DataFrame, aliases: DataFrame, day: str | None = None) -> DataFrame:
+    """One row: requests of a day (today), id of the last error, malls, landmarks, mentioned places and aliases."""
+    on = F.current_date() if day is None else F.lit(day).cast("date")
+    kind = lambda k: F.count_if(F.col("area_type") == k).alias(f"{k}_count")
+    out = budget.where(F.col("day") == on).agg(F.coalesce(F.sum("requests"), F.lit(0)).alias("requests_today"))
+    for part in (errors.agg(F.max("id").alias("last_error")), areas.agg(kind("mall"), kind("landmark")), places.agg(F.count("*").alias("mentioned_places")), aliases.agg(F.count("*").alias("entity_aliases"))):
+        out = out.join(part, F.lit(True), "left")
+    return out
 
 
 def list_areas(areas: DataFrame, developments: DataFrame, search: str | None = None) -> DataFrame:
-    """Areas with the developments of their subtrees, most first."""
-    out = subtree_counts(areas, developments, "area_id")
+    """Areas with the active developments of their subtrees, most first."""
+    out = subtree_counts(areas, developments.where("is_active"), "area_id")
     return out.where(F.col("name").ilike(f"%{search}%")) if search else out
 
 
-def unit_coverage(developments: DataFrame, areas: DataFrame, area_id: int) -> DataFrame:
+def area(areas: DataFrame, area_id) -> DataFrame:
+    return areas.where(F.col("id") == area_id)
+
+
+def sub_communities(rows: DataFrame, area_id) -> DataFrame:
+    return rows.where(F.col("parent_area_id") == area_id).orderBy("name")
+
+
+def in_area(rows: DataFrame, areas: DataFrame, area_id) -> DataFrame:
+    """The rows of an area and of all areas below it."""
     ids = closure(areas).where(F.col("root") == area_id).select(F.col("node").alias("area_id"))
-    rows = developments.join(ids, "area_id", "left_semi")
-    return rows.agg(F.count("*").alias("developments"), F.count("total_units").alias("with_units"), F.count_if(F.col("total_units").isNull()).alias("without_units"), F.sum(F.col("total_units").cast("long")).alias("units"))
+    return rows.join(ids, "area_id", "left_semi")
+
+
+def unit_coverage(developments: DataFrame, areas: DataFrame, area_id) -> DataFrame:
+    """Figures over the active developments of an area's subtree."""
+    like = lambda s: F.count_if(F.col("development_type").ilike(f"%{s}%"))
+    return in_area(developments.where("is_active"), areas, area_id).agg(
+        F.count("*").alias("total"), F.count("total_units").alias("known_units"), F.coalesce(F.sum(F.col("total_units").cast("long")), F.lit(0)).alias("residential_units"),
+        like("villa").alias("villas"), like("townhouse").alias("townhouses"),
+    )
+
+
+def with_names(developments: DataFrame, areas: DataFrame | None, developers: DataFrame | None) -> DataFrame:
+    """developments with area_name and developer_name; those without an area or a developer stay."""
+    for key, rows in (("area", areas), ("developer", developers)):
+        if rows is not None:
+            developments = developments.join(rows.select(F.col("id").alias(f"{key}_id"), F.col("name").alias(f"{key}_name")), f"{key}_id", "left")
+    return developments
 
 
-def _filters(search: str | None, area_id: int | None, developer_id: int | None, status: str | None, dev_type: str | None, year: str | None) -> list[Column]:
-    own = []
+def matching(developments: DataFrame, areas: DataFrame | None = None, search: str | None = None, area_id=None, developer_id: int | None = None, status: str | None = None, dev_type: str | None = None, completion_year: str | None = None) -> DataFrame:
+    """Active developments under optional filters: an area stands for its subtree, a year for either completion date."""
+    rows = developments.where("is_active")
     if search:
-        own.append(F.col("name").ilike(f"%{search}%"))
-    for c, x in (("area_id", area_id), ("developer_id", developer_id), ("normalized_status", status), ("development_type", dev_type)):
-        if x not in (None, ""):
-            own.append(F.col(c) == x)
-    if year:
-        dates = [c for c in ("estimated_completion_date", "actual_completion_date")]
-        own.append(F.startswith(F.coalesce(F.col(dates[0]), F.lit("")), F.lit(year)))
-    return own
+        rows = rows.where(F.col("name").ilike(f"%{search}%"))
+    if dev_type:
+        rows = rows.where(F.col("development_type").ilike(f"%{dev_type}%"))
+    for c, x in (("developer_id", developer_id), ("normalized_status", status)):
+        if x:
+            rows = rows.where(F.col(c) == x)
+    if completion_year:
+        rows = rows.where(F.startswith("estimated_completion_date", F.lit(completion_year)) | F.startswith("actual_completion_date", F.lit(completion_year)))
+    return in_area(rows, areas, area_id) if area_id else rows
 
 
-def list_developments(developments: DataFrame, search: str | None = None, area_id: int | None = None, developer_id: int | None = None, status: str | None = None, dev_type: str | None = None, completion_year: str | None = None, page: int | None = 1, page_size: int = 100) -> DataFrame:
-    """A page of developments under optional filters, by name; page None gives all."""
-    rows = developments
-    for f in _filters(search, area_id, developer_id, status, dev_type, completion_year):
-        rows = rows.where(f)
-    return rows if page is None else rows.orderBy("name", "id").offset((page - 1) * page_size).limit(page_size)
+def list_developments(developments: DataFrame, areas: DataFrame | None = None, developers: DataFrame | None = None, page: int = 1, page_size: int = 100, **filters) -> DataFrame:
+    """A page of the matching developments, the last seen first, with the names of area and developer."""
+    rows = matching(developments, areas, **filters).orderBy(F.desc_nulls_last("last_seen"), "id")
+    return with_names(rows.offset((page - 1) * page_size).limit(page_size), areas, developers)
 
 
-def count_developments(developments: DataFrame, **filters) -> DataFrame:
-    return list_developments(developments, page=None, **filters).agg(F.count("*").alias("n"))
+def count_developments(developments: DataFrame, areas: DataFrame | None = None, **filters) -> DataFrame:
+    return matching(developments, areas, **filters).agg(F.count("*").alias("n"))
 
 
-def development(developments: DataFrame, dev_id: int | None = None, url: str | None = None) -> DataFrame:
-    return developments.where(F.col("id") == dev_id if url is None else F.col("url") == url)
+def development(developments: DataFrame, areas: DataFrame | None = None, developers: DataFrame | None = None, dev_id: int | None = None, url: str | None = None) -> DataFrame:
+    return with_names(developments.where(F.col("id") == dev_id if url is None else F.col("url") == url), areas, developers)
 
 
 def children(rows: DataFrame, dev_id: int, *order: str, limit: int | None = None) -> DataFrame:

@@ -111,7 +111,7 @@ add("update_candidates", lambda t: inc.update_candidates(t("part").select(F.col(
 
 # -- catalogue dashboard ----------------------------------------------------------------------------------------------
 _nodes = lambda t: t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent_name")).unionByName(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("parent_name")))
-_items = lambda t: t("supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("area_id"))
+_items = lambda t: t("supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("area_id"), F.lit(True).alias("is_active"))
 ROLLUP = "SELECT 'n' || n_nationkey AS id, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) FROM region"
 add("tree_rollup", lambda t: trees.subtree_counts(_nodes(t), _items(t), "area_id"), ROLLUP)
 add("tree_closure_recursive", lambda t: trees.closure_recursive(t("region").sparkSession, _nodes(t)), "SELECT 'n' || n_nationkey AS root, 'n' || n_nationkey AS node FROM nation UNION SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation")
@@ -128,8 +128,31 @@ def on_market(name: str, run: Callable[[market.Market], DataFrame], sql: str | N
 on_market("catalogue_overview", lambda k: cat.overview(k.developments, developers=k.developers), "SELECT count(*) AS developments, count(*) FILTER (active) AS active, count(*) FILTER (dtype ILIKE '%villa%') AS villas, count(*) FILTER (dtype ILIKE '%townhouse%') AS townhouses, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in STATUSES) + ", sum(units)::BIGINT AS known_units, (SELECT count(*) FROM developer) AS developers FROM dev")
 on_market("zero_filled_status", lambda k: cat.status_breakdown(k.developments.where("normalized_status <> 'delayed'")), "SELECT s AS status, (SELECT count(*) FROM dev WHERE status = s AND s <> 'delayed') AS n FROM (SELECT unnest([" + ", ".join(f"'{s}'" for s in STATUSES) + "]) AS s)")
 on_market("conditional_coverage", lambda k: cat.coverage(k.developments, ["latitude", "total_units"]), "SELECT 'latitude' AS field, count(lat) AS present, count(*) - count(lat) AS missing FROM dev UNION ALL SELECT 'total_units', count(units), count(*) - count(units) FROM dev")
-on_market("catalogue_developments", lambda k: cat.list_developments(k.developments, status="planned", completion_year="2021", page=1, page_size=20).select("id", "name"), "SELECT id, name FROM dev WHERE status = 'planned' AND starts_with(done, '2021') ORDER BY name, id LIMIT 20")
-on_market("catalogue_development_count", lambda k: cat.count_developments(k.developments, search="a", developer_id=11), "SELECT count(*) AS n FROM dev WHERE name ILIKE '%a%' AND developer_id = 11")
+_full = lambda k: k.developments.withColumns({"area_id": F.concat(F.lit("n"), "area_id"), "last_seen": F.col("id") * 7919 % 1000, "actual_completion_date": F.when(F.col("id") % 4 == 0, F.concat((F.col("id") % 9 + 2020).cast("string"), F.lit("-01"))), "master_development_id": F.when(F.col("id") % 3 != 0, F.floor(F.col("id") / 3) * 3)})
+_tree = lambda k: _nodes(lambda n: k.sales.sparkSession.read.parquet(f"{_folder(k)}/{n}.parquet"))
+_folder = lambda k: k.areas.inputFiles()[0].rsplit("/", 1)[0]
+FULL = ", full_dev AS (SELECT dev.*, id * 7919 % 1000 AS seen, CASE WHEN id % 4 = 0 THEN (id % 9 + 2020) || '-01' END AS done2, CASE WHEN id % 3 <> 0 THEN id // 3 * 3 END AS master_of, n_regionkey, n_name FROM dev LEFT JOIN nation ON scraped = n_nationkey) "
+on_market("catalogue_developments", lambda k: cat.list_developments(_full(k), _tree(k), k.developers, page=2, page_size=3, area_id="r1", dev_type="o", completion_year="2021").select("id", "name", "area_name", "developer_name"), FULL + "SELECT d.id, d.name, n_name AS area_name, developer.name AS developer_name FROM full_dev d JOIN developer ON developer_id = developer.id WHERE active AND n_regionkey = 1 AND dtype ILIKE '%o%' AND (done LIKE '2021%' OR done2 LIKE '2021%') ORDER BY seen DESC, d.id LIMIT 3 OFFSET 3")
+on_market("catalogue_development_count", lambda k: cat.count_developments(_full(k), _tree(k), search="a", developer_id=11, status="planned"), "SELECT count(*) AS n FROM dev WHERE active AND name ILIKE '%a%' AND developer_id = 11 AND status = 'planned'")
+on_market("catalogue_development", lambda k: cat.development(_full(k), _tree(k), k.developers, dev_id=77).select("id", "name", "area_name", "developer_name"), FULL + "SELECT d.id, d.name, n_name AS area_name, developer.name AS developer_name FROM full_dev d JOIN developer ON developer_id = developer.id WHERE d.id = 77")
+on_market("catalogue_master_of", lambda k: cat.master_of(_full(k), 77).select("id", "name"), "SELECT id, name FROM dev WHERE id = 75")
+on_market("catalogue_subs_of", lambda k: cat.subs_of(_full(k), 75).select("id", "name"), FULL + "SELECT id, name FROM full_dev WHERE master_of = 75")
+on_market("catalogue_unit_supply", lambda k: cat.children(k.unit_supply, 89, "development_id").select("development_id", "total_units"), "SELECT p_partkey AS development_id, p_size * 10 AS total_units FROM part WHERE p_partkey = 89 AND p_size % 2 = 0")
+on_market("catalogue_transactions", lambda k: cat.children(k.sales.withColumnRenamed("project_id", "development_id"), 77, F.desc("instance_date"), "sale_id", "line_no", limit=50).select("sale_id", "line_no", "instance_date"), "SELECT sale_id, line_no, day AS instance_date FROM sales WHERE project_id = 77 ORDER BY day DESC, sale_id, line_no LIMIT 50")
+on_market("catalogue_unit_coverage", lambda k: cat.unit_coverage(_full(k).withColumn("total_units", F.when(F.col("id") % 6 != 0, F.col("total_units"))).replace({"MEDIUM": "Villa", "LARGE": "Semi townhouse"}, subset="development_type"), _tree(k), "r2"), FULL + "SELECT count(*) AS total, count(u) AS known_units, coalesce(sum(u), 0)::BIGINT AS residential_units, count(*) FILTER (dtype = 'MEDIUM') AS villas, count(*) FILTER (dtype = 'LARGE') AS townhouses FROM (SELECT *, CASE WHEN id % 6 <> 0 THEN units END AS u FROM full_dev WHERE active AND n_regionkey = 2)")
+add("catalogue_area", lambda t: cat.area(_nodes(t), "n7").select("id", "name"), "SELECT 'n7' AS id, n_name AS name FROM nation WHERE n_nationkey = 7")
+add("catalogue_sub_communities", lambda t: cat.sub_communities(t("nation").select("n_name", F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent_area_id")), 3).select("name"), "SELECT n_name AS name FROM nation WHERE n_regionkey = 3")
+_log = lambda t: t("orders").select(F.col("o_orderkey").alias("id"), pick(["new_record", "field_changed", "disappeared", "other"], F.col("o_orderkey")).alias("change_kind"), F.lit("development").alias("entity_type"), (F.col("o_custkey") % 100).alias("entity_key"), F.col("o_orderdate").alias("detected_at"))
+add("catalogue_recent_changes", lambda t: cat.recent_changes(_log(t)).select("id", "change_kind"), "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 1 THEN 'field_changed' ELSE 'disappeared' END AS change_kind FROM orders WHERE o_orderkey % 4 IN (1, 2) ORDER BY 1 DESC LIMIT 25")
+add("catalogue_recent_discoveries", lambda t: cat.recent_discoveries(_log(t)).select("id"), "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0 ORDER BY 1 DESC LIMIT 25")
+add("catalogue_change_history", lambda t: cat.changes_of(_log(t), "development", 7).select("id"), "SELECT o_orderkey AS id FROM orders WHERE o_custkey % 100 = 7")
+_jobs = lambda t: t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("started_at"), F.timestamp_add("SECOND", F.col("o_orderkey") % 9000, "o_orderdate").alias("finished_at"))
+add("catalogue_jobs", lambda t: cat.jobs(_jobs(t)).select("id", "elapsed"), "SELECT o_orderkey AS id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS elapsed FROM (SELECT o_orderkey, o_orderkey % 9000 AS s FROM orders)")
+add("catalogue_latest_job", lambda t: cat.jobs(_jobs(t), latest=True).select("id"), "SELECT max(o_orderkey) AS id FROM orders")
+_crawl = lambda t: t("events").select(F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("job_id"), F.col("event_type").alias("status"))
+add("catalogue_queue_counts", lambda t: inc.queue_counts(_crawl(t), 1), "SELECT event_type AS status, count(*) AS n FROM events WHERE user_id % 3 = 1 GROUP BY 1")
+add("catalogue_recent_errors", lambda t: cat.recent_errors(_crawl(t), 1), "SELECT event_id AS id, user_id % 3 AS job_id, event_type AS status FROM events WHERE user_id % 3 = 1 ORDER BY 1 DESC LIMIT 20")
+add("catalogue_crawl_health", lambda t: cat.crawl_health(inc.requests_by_day(t("events").select(F.col("ts").alias("at"))), _crawl(t), part(t, nz.area_type(pick(AREAS, K())).alias("area_type")), t("supplier"), t("customer"), "2024-01-03"), "SELECT (SELECT count(*) FROM events WHERE ts::DATE = '2024-01-03') AS requests_today, (SELECT max(event_id) FROM events) AS last_error, (SELECT count(*) FROM part WHERE p_partkey % 5 = 0) AS mall_count, (SELECT count(*) FROM part WHERE p_partkey % 5 = 1) AS landmark_count, (SELECT count(*) FROM supplier) AS mentioned_places, (SELECT count(*) FROM customer) AS entity_aliases")
 on_market("catalogue_options", lambda k: cat.options(k.developments, "development_type"), "SELECT DISTINCT dtype AS development_type FROM dev")
 on_market("nested_export", lambda k: export.nested(k.developers, {"developments": (k.developments.select("id", "name", "developer_id"), "developer_id")}).select("id", F.size("developments").alias("n"), F.get("developments", F.lit(0))["id"].alias("first_id")), "SELECT developer.id, count(dev.id)::INT AS n, min(dev.id) AS first_id FROM developer LEFT JOIN dev ON dev.developer_id = developer.id GROUP BY 1")
 
