@@ -212,3 +212,36 @@ from quarrylane.plans import operators_registry as _single  # noqa: E402
 
 QUERIES |= _single.QUERIES
 ORACLES |= _single.ORACLES
+
+
+# -- oracles made of others -------------------------------------------------------------------------------------------
+
+
+def named(alias: str, columns: str) -> str:
+    return ", ".join(f"{alias}.{c} AS {alias}_{c}" for c in columns.split())
+
+
+_SALES_KPIS = "sales_count value avg_price median_price median_psf change_pct value_change_pct confidence"
+_RENTAL_KPIS = "rental_count avg_rent median_rent change_pct confidence"
+_PARTS = {
+    "s": ("overview_sales_kpis", _SALES_KPIS), "r": ("overview_rental_kpis", _RENTAL_KPIS), "type": ("best_selling_type", "canonical_bedroom n"), "area": ("top_rental_area", "community_name n"),
+    "growth": ("growth_area", "community_name current_count previous_count change_pct"), "supply": ("largest_supply", "area units"),
+}
+_AED = "CASE WHEN s.value IS NULL THEN 'N/A' WHEN s.value >= 1e9 THEN printf('AED %.2fB', s.value / 1e9) WHEN s.value >= 1e6 THEN printf('AED %.2fM', s.value / 1e6) WHEN s.value >= 1e3 THEN printf('AED %.0fK', s.value / 1e3) ELSE printf('AED %.0f', s.value) END"
+ORACLES["overview"] = (
+    "SELECT " + ", ".join(named(a, c) for a, (_, c) in _PARTS.items())
+    + f", t.*, {yld('r.median_rent', 's.median_price')} AS estimated_gross_yield_pct, {_AED} AS value_formatted FROM "
+    + " LEFT JOIN ".join(f"({ORACLES[name]}) {a}" + (" ON true" if a != "s" else "") for a, (name, _) in _PARTS.items())
+    + f" LEFT JOIN ({PRELUDE} SELECT (SELECT count(*) FROM dev WHERE active) AS active_projects, (SELECT count(*) FROM dev WHERE active AND status = 'under_construction') AS under_construction, (SELECT sum(units)::BIGINT FROM supply) AS known_units) t ON true"
+)
+
+
+def _summary(fact: str, days: int, columns: str, where: str) -> str:
+    """The KPI query of a fact over some of its rows only."""
+    return f"({PRELUDE}{kpis(f'(SELECT * FROM {fact} WHERE {where})', days)} SELECT {columns} FROM a)"
+
+
+_OK = "CASE WHEN n >= 5 THEN 'ok' ELSE 'insufficient_data' END AS confidence"
+_S = f"n AS sales_count, v AS value, v / n AS avg_price, mp AS median_price, {r('mpsf', 4)} AS median_psf, {pct('n', 'pn')} AS change_pct, {pct('v', 'pv')} AS value_change_pct, {_OK}"
+_R = f"n AS rental_count, v / n AS avg_rent, mp AS median_rent, {pct('n', 'pn')} AS change_pct, {_OK}"
+ORACLES["master_kpis"] = f"SELECT {named('s', _SALES_KPIS)}, {named('r', _RENTAL_KPIS)} FROM {_summary('sales', 180, _S, _SCOPE + ' AND bed = $$2BR$$ AND NOT is_offplan')} s, {_summary('rentals', 180, _R, _SCOPE + ' AND bed = $$2BR$$')} r"
