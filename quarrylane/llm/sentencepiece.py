@@ -10,8 +10,9 @@ Two folds: ``viterbi`` takes the path of the greatest sum of scores, as unigram
 kind, for which a best path over its scores is not what the library gives; there ``merges`` joins the best-ranked
 neighbouring pair, step by step, and the results equal the library's.
 
-Words are looked up without moving the documents: every split of the input asks for its own distinct words, and the
-answers come back to the split's number, packed and compressed. Within a split words are told apart by 64-bit hashes.
+Every split of the input asks for its own distinct words. The answers and the documents, compressed, then meet in one
+shuffle by the split's number, answers first: a task learns the words of a split and streams its documents through them.
+Within a split words are told apart by 64-bit hashes.
 Words of over 60 characters (a long holds no more borders), words without an edge and words that a re-planned split did
 not ask for are segmented in place by the same rule.
 
@@ -29,15 +30,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import checkpointed, let
+from quarrylane.llm.common import let
 from quarrylane.llm.textkernels import mix
 
 BLANK = "▁"
 LONGEST = 60
-#: Characters that are cut at a time.
+#: Characters (bytes where texts are still in Arrow) that are handled at a time.
 AT_ONCE = 1 << 20
 
 
@@ -169,23 +171,30 @@ def batches(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
+def slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about AT_ONCE bytes of text."""
+    run = np.cumsum(pc.binary_length(rows.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1, [rows.num_rows])) if rows.num_rows else np.zeros(1, np.int64)
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield rows.slice(low, high - low)
+
+
 def asked_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(split, word): the distinct words of 2 to LONGEST characters of every input split."""
 
     def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = Cutter(pieces), np.zeros(0, np.uint64)
-        for f in frames:
-            split, texts = f.column("split")[0].as_py() if f.num_rows else 0, f.column("text").to_pylist()
-            for low, high in batches(texts):
-                whole, codes, starts, _ = cutter.cut(texts[low:high])
-                ends = np.append(starts[1:], len(codes))
-                mine = (ends - starts >= 2) & (ends - starts <= LONGEST)
-                h, at = np.unique(cutter.hashes(codes, starts)[mine], return_index=True)
-                new = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h if len(known) else np.ones(len(h), bool)
-                at = np.flatnonzero(mine)[at[new]]
-                known = np.sort(np.concatenate((known, h[new])))
-                words = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                yield pa.record_batch({"split": pa.array(np.full(len(words), split, np.int32)), "word": pa.array(words, pa.string())})
+        for f in (part for frame in frames for part in slices(frame)):
+            split = f.column("split")[0].as_py()
+            whole, codes, starts, _ = cutter.cut(f.column("text").to_pylist())
+            ends = np.append(starts[1:], len(codes))
+            mine = (ends - starts >= 2) & (ends - starts <= LONGEST)
+            h, at = np.unique(cutter.hashes(codes, starts)[mine], return_index=True)
+            new = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h if len(known) else np.ones(len(h), bool)
+            at = np.flatnonzero(mine)[at[new]]
+            known = np.sort(np.concatenate((known, h[new])))
+            words = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            yield pa.record_batch({"split": pa.array(np.full(len(words), split, np.int32)), "word": pa.array(words, pa.string())})
 
     rows = docs.select(F.spark_partition_id().alias("split"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(each, "split int, word string")
@@ -259,46 +268,37 @@ def segmented(asked: DataFrame, pieces: Pieces, fold: str = "merges", scores: di
     return edges.select(F.explode("splits").alias("split"), "word", cuts.alias("cuts"))
 
 
-def packed_answers(answers: DataFrame) -> DataFrame:
-    """The answers (word, cuts) of a split as few rows: the words end to end, their lengths, their cuts; compressed."""
-
-    def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            words = f.column("word").to_pylist()
-            lengths = np.array([len(w) for w in words], np.uint8).tobytes()
-            cuts = f.column("cuts").to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-            yield pa.record_batch({"words": [zlib.compress("".join(words).encode(), 1)], "lengths": [lengths], "cuts": [zlib.compress(cuts, 1)]})
-
-    return answers.select("word", "cuts").mapInArrow(each, "words binary, lengths binary, cuts binary")
-
-
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id and text of every split as compressed batches, so that no split's texts are in memory at once."""
+    """(split, batch): doc_id and text of every split as compressed batches."""
 
     def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            ids, texts = f.column("doc_id").to_pylist(), f.column("text").to_pylist()
-            for low, high in batches(texts):
-                yield pa.record_batch({"batch": [zlib.compress(pickle.dumps((ids[low:high], texts[low:high])), 1)]})
+        for f in (part for frame in frames for part in slices(frame)):
+            batch = zlib.compress(pickle.dumps((f.column("doc_id").to_pylist(), f.column("text").to_pylist())), 1)
+            yield pa.record_batch({"split": pa.array([f.column("split")[0].as_py()], pa.int32()), "batch": pa.array([batch], pa.binary())})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "batch binary")
+    rows = docs.select(F.spark_partition_id().alias("split"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(each, "split int, batch binary")
 
 
 class Encoder:
     """Texts to ids in array operations, given the segmentations of a split's words."""
 
-    def __init__(self, pieces: Pieces, answers: Iterable[tuple[bytes, bytes, bytes]] = ()):
+    def __init__(self, pieces: Pieces):
         self.pieces, self.cutter = pieces, Cutter(pieces)
         names = list(pieces.ids)
         codes, starts = self._codes(names)
         h = self.cutter.hashes(codes, starts)
         order = np.argsort(h)
         self.piece_hash, self.piece_id = h[order], np.array([pieces.ids[p] for p in names], np.uint32)[order]
-        parts = [self._segmented(*row) for row in answers]
+        self.learn(())
+
+    def learn(self, answers: Iterable[tuple[list[str], np.ndarray]]) -> None:
+        """Forget the words known so far and know these: words and their cuts, in batches."""
+        parts = [self._segmented(*batch) for batch in answers]
         h = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
-        count, flat = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)]), np.concatenate([np.zeros(0, np.uint32), *(p[2] for p in parts)])
+        count, flat = np.concatenate([np.zeros(0, np.int32), *(p[1] for p in parts)]), np.concatenate([np.zeros(0, np.uint32), *(p[2] for p in parts)])
         order = np.argsort(h)
-        self.known, self.count, self.first, self.flat = h[order], count[order], (np.cumsum(count) - count)[order], flat
+        self.known, self.count, self.first, self.flat = h[order], count[order], (np.cumsum(count, dtype=np.int64) - count)[order], flat
 
     @staticmethod
     def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -312,11 +312,10 @@ class Encoder:
             out += [k] if k is not None else [self.pieces.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
-    def _segmented(self, words: bytes, lengths: bytes, cuts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and number of ids of every word of a packed row, and the ids end to end."""
-        whole = zlib.decompress(words).decode("utf-8", "surrogatepass")
-        codes, n = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(lengths, np.uint8).astype(np.int64)
-        c, starts = np.frombuffer(zlib.decompress(cuts), "<i8"), np.cumsum(n) - n
+    def _segmented(self, words: list[str], c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and number of ids of every word, and the ids end to end."""
+        whole, n = "".join(words), np.array([len(w) for w in words], np.int64)
+        codes, starts = self._codes(words)
         at = np.arange(len(codes)) - np.repeat(starts, n)
         opens = (np.repeat(c, n) >> at) & 1 == 1
         heads = np.flatnonzero(opens)
@@ -330,7 +329,7 @@ class Encoder:
             sizes = np.array([len(x) for x in per], np.int64)
             count = np.add.reduceat(sizes, np.cumsum(count) - count)
             ids = np.array([i for x in per for i in x], np.uint32)
-        return self.cutter.hashes(codes, starts), count, ids
+        return self.cutter.hashes(codes, starts), count.astype(np.int32), ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -380,31 +379,44 @@ class Decoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def over_documents(docs: DataFrame, pieces: Pieces, emit: Callable[[int, str, np.ndarray], tuple], schema: str) -> DataFrame:
-    """emit(doc_id, text, ids) of every document. Splits of documents and of answers meet by number, both packed."""
-    texts = packed_documents(docs).rdd
-    n = texts.getNumPartitions()
+def over_documents(docs: DataFrame, pieces: Pieces, emit: Callable[[int, str, np.ndarray], tuple], types: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """emit(doc_id, text, ids) of every document, as columns of the given types.
+
+    One task holds the answers of one split and one batch of its documents at a time.
+    """
+    n = docs.select("doc_id").rdd.getNumPartitions()
     if not n:
         return docs.sparkSession.createDataFrame([], schema)
-    answers = checkpointed(packed_answers(segmented(asked_words(docs, pieces), pieces).repartitionById(n, "split"))).rdd
-    if answers.getNumPartitions() != n:  # adaptive planning drops the exchange when there are no answers
-        answers = docs.sparkSession.sparkContext.parallelize([], n)
+    answers = segmented(asked_words(docs, pieces), pieces).withColumn("batch", F.lit(None).cast("binary"))
+    both = answers.unionByName(packed_documents(docs), allowMissingColumns=True).repartitionById(n, F.pmod("split", F.lit(n)).cast("int"))
 
-    def joined(pairs: Iterator[tuple[list, list]]) -> Iterator[tuple]:
-        for documents, words in pairs:
-            encoder = Encoder(pieces, words)
-            words.clear()
-            for (packed,) in documents:
-                ids, own = pickle.loads(zlib.decompress(packed))
-                for doc, text, codes in zip(ids, own, encoder.encode(own), strict=True):
-                    yield emit(doc, text, codes)
-
-    return docs.sparkSession.createDataFrame(texts.glom().zip(answers.glom()).mapPartitions(joined), schema, verifySchema=False)
+    def joined(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, words, of = Encoder(pieces), [], None
+        for f in frames:
+            split, is_word = f.column("split").to_numpy(), f.column("batch").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero((np.diff(split) != 0) | np.diff(is_word)) + 1, [len(split)])) if len(split) else np.zeros(1, np.int64)
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                run = f.slice(low, high - low)
+                if split[low] != of:
+                    of, words = split[low], []
+                    encoder.learn(())
+                if is_word[low]:
+                    words.append((run.column("word").to_pylist(), run.column("cuts").to_numpy()))
+                    continue
+                if words:
+                    encoder.learn(words)
+                    words = []
+                for packed in run.column("batch"):
+                    ids, texts = pickle.loads(zlib.decompress(packed.as_py()))
+                    rows = [emit(*x) for x in zip(ids, texts, encoder.encode(texts), strict=True)]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
+
+    return both.sortWithinPartitions("split", F.col("batch").isNotNull()).mapInArrow(joined, schema)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids of every document."""
-    return over_documents(docs, load_pieces(path), lambda doc, text, ids: (doc, ids.tolist()), "doc_id long, ids array<int>")
+    return over_documents(docs, load_pieces(path), lambda doc, text, ids: (doc, ids), {"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -428,4 +440,5 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     def row(doc: int, text: str, ids: np.ndarray) -> tuple:
         return doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), decoder.text(ids) == text.replace(BLANK, " ")
 
-    return over_documents(docs, pieces, row, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    types = {"doc_id": pa.int64(), "n_ids": pa.int64(), "ids_crc32": pa.int64(), "round_trip": pa.bool_()}
+    return over_documents(docs, pieces, row, types, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
