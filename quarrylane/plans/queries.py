@@ -14,10 +14,10 @@ from pyspark.sql.window import Window
 
 from quarrylane.functions import metrics as m
 from quarrylane.functions.periods import Period
+from quarrylane.operators.medians import with_medians
 from quarrylane.plans.market import BEDROOMS, UPCOMING, Market
 
 
-
 def count_when(c: Column) -> Column:
     return F.count(F.when(c, 1))
 
@@ -44,8 +44,9 @@ def sales_kpis(mk: Market, p: Period, community: str | None = None) -> DataFrame
     cur = lambda c: F.when(F.col("_cur"), F.col(c))
     a = f.agg(
         count_when(F.col("_cur")).alias("sales_count"), count_when(F.col("_prev")).alias("prev_count"), m.money_sum(cur("trans_value_aed")).alias("value"),
-        m.money_sum(F.when(F.col("_prev"), F.col("trans_value_aed"))).alias("prev_value"), F.median(cur("trans_value_aed")).alias("median_price"), F.median(cur("price_per_sqft_aed")).alias("median_psf"),
+        m.money_sum(F.when(F.col("_prev"), F.col("trans_value_aed"))).alias("prev_value"),
     )
+    a = with_medians(a, f, [], {"median_price": cur("trans_value_aed"), "median_psf": cur("price_per_sqft_aed")})
     return a.select(
         "sales_count", "value", m.ratio("value", "sales_count").alias("avg_price"), "median_price", m.rounded("median_psf", 4).alias("median_psf"),
         m.pct_change("sales_count", "prev_count").alias("change_pct"), m.pct_change("value", "prev_value").alias("value_change_pct"),
@@ -56,7 +57,8 @@ def sales_kpis(mk: Market, p: Period, community: str | None = None) -> DataFrame
 def rental_kpis(mk: Market, p: Period, community: str | None = None) -> DataFrame:
     f = _two_windows(in_community(mk.rentals, mk, community), p, "registration_date")
     cur = F.when(F.col("_cur"), F.col("annual_amount_aed"))
-    a = f.agg(count_when(F.col("_cur")).alias("rental_count"), count_when(F.col("_prev")).alias("prev_count"), m.money_avg(cur).alias("avg_rent"), F.median(cur).alias("median_rent"))
+    a = f.agg(count_when(F.col("_cur")).alias("rental_count"), count_when(F.col("_prev")).alias("prev_count"), m.money_avg(cur).alias("avg_rent"))
+    a = with_medians(a, f, [], {"median_rent": cur})
     return a.select("rental_count", "avg_rent", "median_rent", m.pct_change("rental_count", "prev_count").alias("change_pct"), m.confidence("rental_count").alias("confidence"))
 
 
@@ -296,8 +298,9 @@ def _labelled(facts: DataFrame, mk: Market, by: str, rentals: bool) -> DataFrame
 def breakdown(mk: Market, p: Period, by: str = "community", rentals: bool = False, limit: int = 20) -> DataFrame:
     """Counts, value and median by a dimension. Shares are of the returned rows."""
     facts, day, value = (mk.rentals, "registration_date", "annual_amount_aed") if rentals else (mk.sold, "instance_date", "trans_value_aed")
-    g = _labelled(facts.where(p.cur(day)), mk, by, rentals).where("label is not null").groupBy("label")
-    g = g.agg(F.count("*").alias("n"), m.money_sum(value).alias("total_value"), F.median(value).alias("median_value")).orderBy(F.desc("n"), "label").limit(limit)
+    rows = _labelled(facts.where(p.cur(day)), mk, by, rentals).where("label is not null").select("label", value)
+    g = rows.groupBy("label").agg(F.count("*").alias("n"), m.money_sum(value).alias("total_value")).orderBy(F.desc("n"), "label").limit(limit)
+    g = with_medians(g, rows.join(g.select("label"), "label", "left_semi"), ["label"], {"median_value": F.col(value)})
     return g.withColumn("share_pct", m.market_share("n", F.sum("n").over(Window.partitionBy())))
 
 
@@ -307,7 +310,9 @@ def trend(mk: Market, p: Period, grain: str = "week", rentals: bool = False, fac
     facts = facts if facts is not None else (mk.rentals if rentals else mk.sold)
     bucket = F.col(day) if grain == "day" else F.trunc(day, "week" if grain == "week" else "month")
     extra = [count_when(F.col("is_renewal")).alias("renewals"), count_when(~F.col("is_renewal")).alias("new_leases")] if rentals else [m.money_sum(value).alias("total_value")]
-    return facts.where(p.cur(day)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.median(value).alias("median_value"), *extra)
+    rows = facts.where(p.cur(day)).withColumn("bucket", bucket)
+    g = rows.groupBy("bucket").agg(F.count("*").alias("n"), *extra)
+    return with_medians(g, rows, ["bucket"], {"median_value": F.col(value)})
 
 
 def demand_matrix(mk: Market, p: Period, top: int = 10, share: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylane.functions import normalize as nz
 from quarrylane.operators import incremental as inc
 from quarrylane.operators import pages as pg
-from quarrylane.operators import resolve, similarity, trees, warehouse
+from quarrylane.operators import medians, resolve, similarity, trees, warehouse
 from quarrylane.sources import export, staging
 from quarrylane.streaming import events
 
@@ -226,3 +226,19 @@ def test_fuzzy_match_query_against_brute_force(spark):
         best = 100.0 if r["key"] in names else max(similarity.token_sort_ratio(r["key"], x) for x in names)
         assert abs(r["score"] - best) < 1e-9
         assert r["confidence"] == ("exact" if r["key"] in names else "fuzzy_high" if best >= 90 else "fuzzy_low" if best >= 75 else "unmatched")
+
+
+def test_exact_medians_of_null_keys_and_missing_values(spark):
+    rows = spark.createDataFrame(
+        [(None, 1.0, None), (None, 4.0, None), ("a", 3.0, 7.0), ("a", 3.0, None), ("a", 9.0, 8.0), ("b", None, None)], "k string, v double, w double"
+    )
+    values = {"mv": F.col("v"), "mw": F.col("w")}
+    got = {r["k"]: (r["mv"], r["mw"]) for r in medians.exact_medians(rows, ["k"], values).collect()}
+    assert got == {None: (2.5, None), "a": (3.0, 7.5)}
+    whole = medians.with_medians(rows.agg(F.count("*").alias("n")), rows, [], values).first()
+    assert (whole["n"], whole["mv"], whole["mw"]) == (6, 3.0, 7.5)
+    groups = medians.with_medians(rows.groupBy("k").agg(F.count("*").alias("n")), rows, ["k"], values)
+    assert {r["k"]: (r["n"], r["mv"]) for r in groups.collect()} == {None: (2, 2.5), "a": (3, 3.0), "b": (1, None)}
+    assert medians.with_medians(rows.limit(0).agg(F.count("*").alias("n")), rows.limit(0), [], values).first()["mv"] is None
+    many = spark.range(200001).select(F.lit(1).alias("k"), F.pmod(F.xxhash64("id"), F.lit(100000)).cast("double").alias("v"))
+    assert medians.exact_median(many, ["k"], "v").first()["median"] == many.agg(F.median("v")).first()[0]
