@@ -55,9 +55,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as Parquet in the shared folder, in a folder for each value of ``by``, and read again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

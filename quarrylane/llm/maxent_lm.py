@@ -1,7 +1,7 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax, beside an add-0.1 unigram base.
 
-Tokens are runs of bytes other than ASCII white space, with A-Z lower-cased, and one end a text. The 512 most frequent
-tokens sit 32 by 32 in classes by rank; all other words, known or not, belong to one of 16 classes by their last two
+Tokens are runs of bytes other than ASCII white space, with A-Z lower-cased, and one end a text. The 384 most frequent
+tokens sit 32 by 32 in 12 classes by rank; all other words, known or not, belong to one of 12 classes by their last two
 bytes. ``P(token) = P(class | context) * P(token | class, context)``. Both factors are softmaxes over sums of hashed
 weights of the context's features: the previous word, the second word back on its own (a skip), both together, the
 classes of the last three words, and a constant. Within a class of endings the second factor is the add-0.1 unigram of
@@ -20,6 +20,7 @@ are ignored.
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.llm.common import written
 
-WIDE, DEEP = 32, 32  # classes; words in a class by rank
+WIDE, DEEP = 24, 32  # classes; words in a class by rank
 RANKED = WIDE // 2 * DEEP
 #: Stands for the end among the tokens: no word holds a blank.
 END = b" "
@@ -71,6 +72,12 @@ class Vocabulary:
         mass += room[:, 0]
         self.mass = mass
 
+    def without_codes(self) -> Vocabulary:
+        """What a model needs of it: tasks that read codes have no use for the words."""
+        light = copy.copy(self)
+        light.code = {}
+        return light
+
     @property
     def base_room(self) -> float:
         return self.total + 0.1 * (self.distinct + 1)
@@ -129,20 +136,21 @@ class Model:
             return [np.zeros(len(ids), np.uint64), back[0], back[1], back[0] * np.uint64(1 << 20) + back[1], (c1 * np.uint64(128) + c2) * np.uint64(128) + c3]
 
     def parts(self, ids: np.ndarray, first: np.ndarray):
-        """Rows of the class factor for all tokens; places, rows and words of the second factor for the ranked ones."""
+        """Rows of the class factor for all tokens (None: row 0 for each); places, rows and words of the second factor for the ranked ones."""
         keys = self.features(ids, first)
         cls = self.v.cls[ids]
         ranked = np.flatnonzero(ids < min(self.v.size, RANKED))
         own = (cls[ranked] + 1).astype(np.uint64)
         with np.errstate(over="ignore"):
             deep = [self._row(own if not t else (k[ranked] * np.uint64(64) + own) ^ _A, t, self.rows) for t, k in enumerate(keys)]
-        return cls, [self._row(k, t, self.rows) for t, k in enumerate(keys)], ranked, ids[ranked] % DEEP, deep
+        return cls, [None, *(self._row(k, t, self.rows) for t, k in enumerate(keys) if t)], ranked, ids[ranked] % DEEP, deep
 
     @staticmethod
     def _logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        out = table.take(rows[0], axis=0)
-        for r in rows[1:]:
+        out = table.take(rows[1], axis=0)
+        for r in rows[2:]:
             out += table.take(r, axis=0)
+        out += table[0] if rows[0] is None else table.take(rows[0], axis=0)
         out -= out.max(axis=1, keepdims=True)
         return out
 
@@ -157,7 +165,7 @@ class Model:
         out = self.v.inner[ids].copy()
         cls, wide, ranked, words, deep = self.parts(ids, first)
         for a in range(0, len(ids), step):
-            out[a : a + step] += self._log_p(self.wide, [r[a : a + step] for r in wide], cls[a : a + step]) / np.log(10)
+            out[a : a + step] += self._log_p(self.wide, [r if r is None else r[a : a + step] for r in wide], cls[a : a + step]) / np.log(10)
         for a in range(0, len(ranked), step):
             out[ranked[a : a + step]] += self._log_p(self.deep, [r[a : a + step] for r in deep], words[a : a + step]) / np.log(10)
         return out
@@ -180,6 +188,12 @@ class Model:
         d[np.arange(len(y)), y] -= 1
         by_output = np.ascontiguousarray(d.T, np.float64)
         for r in rows:
+            if r is None:
+                g = d.sum(axis=0)
+                sums[0] += g @ g / len(g)
+                table[0] -= rate / np.sqrt(sums[0]) * g
+                touched[0] = True
+                continue
             order = np.argsort(r.astype(np.uint16 if self.rows <= 1 << 16 else np.int64), kind="stable")
             ordered = r[order]
             begins = np.diff(ordered, prepend=-1) != 0
@@ -291,8 +305,9 @@ def _batches(rows: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.n
         yield out()
 
 
-def train(coded: DataFrame, voc: Vocabulary, rounds: int, rows: int = 1 << 15, rate: float = 0.15, tokens: int = 8192) -> Model:
+def train(coded: DataFrame, voc: Vocabulary, rounds: int, rows: int = 1 << 15, rate: float = 0.15, tokens: int = 16384) -> Model:
     """One pass over the training documents, in ``rounds`` parts, with the tasks' changes averaged after each part."""
+    voc = voc.without_codes()
     model = Model(voc, rows).start()
     for k in range(rounds):
         now, slow = model, rate * 0.7**k
@@ -304,7 +319,7 @@ def train(coded: DataFrame, voc: Vocabulary, rounds: int, rows: int = 1 << 15, r
                 at = np.flatnonzero(touched[which])
                 for a in range(0, len(at), 4096):
                     part = at[a : a + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array(part * 2 + which, pa.int32()), pa.array([1] * len(part), pa.int64()), pa.array([x.tobytes() for x in new[part] - old[part]], pa.binary())], ["weight_row", "tasks", "change"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part * 2 + which, pa.int32()), pa.array([1] * len(part), pa.int64()), pa.array([x.tobytes() for x in (new[part] - old[part]).astype(np.float16)], pa.binary())], ["weight_row", "tasks", "change"])
 
         sums = _summed(coded.where(F.col("shard") == k).select("ids").mapInArrow(changes, "weight_row int, tasks long, change binary"), rows)
         wide, deep = now.wide.copy(), now.deep.copy()
@@ -323,7 +338,7 @@ def _summed(changes: DataFrame, rows: int) -> DataFrame:
         tasks: Counter = Counter()
         for batch in batches:
             for row, n, change in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x = np.frombuffer(change, np.float32)
+                x = np.frombuffer(change, np.float16)
                 tasks[row] += n
                 if row in total:
                     total[row] += x
@@ -356,7 +371,7 @@ def score_documents(docs: DataFrame, words: int = 1 << 18, rounds: int = 3, rows
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     counts = written(count_tokens(docs.where(~held_out())), "lm-counts")
     voc = vocabulary(counts, words)
-    coded = written(encode(docs, voc, rounds), "lm-coded")
+    coded = written(encode(docs, voc, rounds), "lm-coded", "shard")
     model = train(coded, voc, rounds, rows)
     # words without a code meet their counts; those that training has not seen find none
     rest = coded.select("row", F.explode("rest").alias("token")).join(counts, "token", "left").groupBy("row").agg(
