@@ -5,20 +5,15 @@ Confidence is exact, fuzzy_high (90 and up: linked), fuzzy_low (75 and up: kept
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylane.functions import normalize as nz
-from quarrylane.operators import similarity
+from quarrylane.operators import similarity, simjoin
 from quarrylane.operators.lineage import settled
 
 HIGH, LOW = 90.0, 75.0
-#: Up to so many candidates, every key is scored against all of them inside one vectorised function.
-SMALL_POOL = 20_000
 
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -53,39 +48,19 @@ def project_candidates(developments: DataFrame, buildings: DataFrame) -> tuple[D
     return devs, built.join(buildings.select("id", "development_id"), "id")
 
 
-def best_match(keys: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(key, id, score) of the most similar candidate; ties go to the least candidate key.
-
-    A small pool travels to the tasks whole, its size checked first. A large one is joined by length: a score of 75 needs
-    lengths within 3 : 5, so keys without such a candidate have no row.
-    """
-    rows = candidates.select("key", "id").orderBy("key").limit(SMALL_POOL + 1).collect()
-    if len(rows) <= SMALL_POOL:
-        pool, ratio = [(r["key"], r["id"]) for r in rows], similarity.token_sort_ratio
-
-        def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                out = []
-                for key in f["key"]:
-                    best = (-1.0, None)
-                    for cand, cid in pool:
-                        total = len(key) + len(cand)
-                        if total and 200.0 * min(len(key), len(cand)) / total > best[0]:
-                            score = ratio(key, cand)
-                            if score > best[0]:
-                                best = (score, cid)
-                    out.append((key, best[1], best[0]))
-                yield pd.DataFrame(out, columns=["key", "id", "score"]).astype({"id": "Int64"})
-
-        return keys.select("key").mapInPandas(scored, "key string, id long, score double").where("id is not null")
-    n = F.length("key")
-    wide = keys.select("key", F.explode(F.sequence(F.ceil(n * 0.6).cast("int"), F.floor(n / 0.6).cast("int"))).alias("_n"))
-    pairs = wide.join(candidates.select(F.col("key").alias("_c"), "id", F.length("key").alias("_n")), "_n")
-    return first_by(pairs.withColumn("score", similarity.token_sort("key", "_c")), ["key"], F.desc("score"), "_c").select("key", "id", "score")
+def best_match(keys: DataFrame, candidates: DataFrame, least: float = LOW) -> DataFrame:
+    """(key, id, score) of the most similar candidate of every key that has one of ``least`` or more; ties go to the least
+    candidate key. Keys without such a candidate have no row, however many candidates there are."""
+    pairs = simjoin.similar(keys, candidates, least).join(candidates.select(F.col("key").alias("other"), "id"), "other")
+    return pairs.groupBy("key").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), F.col("other"))).alias("_b")).select("key", "_b.id", "_b.score")
 
 
 def match(keys: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(key, matched_id, confidence, score) of distinct canonical keys. An override without an id confirms that there is no match."""
+    """(key, matched_id, confidence, score) of distinct canonical keys. An override without an id confirms that there is no match.
+
+    The score of an unmatched key is NULL: by definition no candidate of 75 or more exists, and lower ones are not ranked.
+    An empty key and one that an override leaves without a match have 0.
+    """
     rows = keys.select("key").distinct()
     if overrides is None:
         rows = rows.withColumn("_o", F.lit(None).cast("long")).withColumn("_has", F.lit(False))
@@ -100,7 +75,7 @@ def match(keys: DataFrame, candidates: DataFrame, overrides: DataFrame | None =
     return rows.select(
         "key", F.when(exact, F.coalesce("_o", "_e")).when(high, F.col("_f")).alias("matched_id"),
         F.when(exact, "exact").when(high, "fuzzy_high").when(~F.col("_has") & (F.col("_s") >= LOW), "fuzzy_low").otherwise("unmatched").alias("confidence"),
-        F.when(exact, 100.0).otherwise(F.coalesce("_s", F.lit(0.0))).alias("score"),
+        F.when(exact, 100.0).when(F.col("_has") | (F.col("key") == ""), 0.0).otherwise(F.col("_s")).alias("score"),
     )
 
 

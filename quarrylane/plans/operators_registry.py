@@ -82,9 +82,34 @@ add("oversupply_metric", lambda t: part(t, metrics.oversupply_risk(*_ud()).alias
 
 # -- resolution and search --------------------------------------------------------------------------------------------
 _pert = lambda: F.concat(F.substring("p_name", 1, 3), F.substring("p_name", 5, 200))
-add("fuzzy_match", lambda t: resolve.match(t("part").select(nz.canonical_key(_pert()).alias("key")), t("part").groupBy(nz.canonical_key("p_name").alias("key")).agg(F.min("p_partkey").alias("id"))))
+
+
+def sql_sorted(text: str) -> str:
+    return f"list_aggregate(list_sort(list_filter(string_split({text}, ' '), lambda w: w <> '')), 'string_agg', ' ')"
+
+
+def sql_ratio(a: str, b: str) -> str:
+    """200 * LCS / (length a + length b) of two columns, by the table of longest common subsequences, a row a character of a."""
+    cell = f"CASE WHEN c[1] = unicode(substr({b}, j[1]::INT, 1)) THEN p[j[1]] + 1 ELSE greatest(p[j[1] + 1], q[j[1]]) END"
+    row = f"list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length({b}) + 1), lambda x: [x::BIGINT])), lambda q, j: list_append(q, {cell}))"
+    letters = f"list_transform(range(1, length({a}) + 1), lambda x: [unicode(substr({a}, x::INT, 1))::BIGINT])"
+    last = f"list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda x: 0::BIGINT), {letters}), lambda p, c: {row})"
+    return f"200.0::DOUBLE * ({last})[-1] / (length({a}) + length({b}))"
+
+
+add("fuzzy_match", lambda t: resolve.match(t("part").select(nz.canonical_key(_pert()).alias("key")), t("part").groupBy(nz.canonical_key("p_name").alias("key")).agg(F.min("p_partkey").alias("id"))), f"""
+WITH keys AS (SELECT DISTINCT {KEY.format(x="substr(p_name, 1, 3) || substr(p_name, 5, 200)")} AS key FROM part),
+cands AS (SELECT {KEY.format(x='p_name')} AS cand, min(p_partkey) AS id FROM part GROUP BY 1),
+pairs AS (SELECT key, cand, id, {sql_sorted('key')} AS a, {sql_sorted('cand')} AS b FROM keys, cands),
+scored AS (SELECT key, cand, id, {sql_ratio('a', 'b')} AS score FROM pairs),
+best AS (SELECT key, arg_min(id, (-score, cand)) AS id, max(score) AS score FROM scored WHERE score >= 75 GROUP BY key)
+SELECT k.key, CASE WHEN c.id IS NOT NULL THEN c.id WHEN b.score >= 90 THEN b.id END AS matched_id,
+       CASE WHEN c.id IS NOT NULL THEN 'exact' WHEN b.score >= 90 THEN 'fuzzy_high' WHEN b.score >= 75 THEN 'fuzzy_low' ELSE 'unmatched' END AS confidence,
+       CASE WHEN c.id IS NOT NULL THEN 100.0::DOUBLE ELSE b.score END AS score
+FROM keys k LEFT JOIN cands c ON c.cand = k.key LEFT JOIN best b USING (key)""")
 add("exact_match", lambda t: resolve.match(t("supplier").select(nz.canonical_key("s_name").alias("key")), t("supplier").groupBy(nz.canonical_key("s_name").alias("key")).agg(F.min("s_suppkey").alias("id"))).where("confidence = 'exact'"), f"SELECT key, min(s_suppkey) AS matched_id, 'exact' AS confidence, 100.0::DOUBLE AS score FROM (SELECT {KEY.format(x='s_name')} AS key, s_suppkey FROM supplier) GROUP BY key")
-add("token_sort_scores", lambda t: t("part").select("p_partkey", similarity.token_sort(F.lower("p_name"), F.lower("p_type")).alias("score")))
+add("token_sort_scores", lambda t: t("part").select("p_partkey", similarity.token_sort(F.lower("p_name"), F.lower("p_type")).alias("score")), f"""
+SELECT p_partkey, {sql_ratio('a', 'b')} AS score FROM (SELECT p_partkey, {sql_sorted('lower(p_name)')} AS a, {sql_sorted('lower(p_type)')} AS b FROM part)""")
 _cands = lambda t: t("part").select(nz.canonical_key("p_name").alias("key"), F.col("p_name").alias("name"), F.lit("building").alias("kind")).unionByName(t("part").select(nz.canonical_key("p_brand").alias("key"), F.col("p_brand").alias("name"), F.lit("master").alias("kind")).distinct())
 add("search_rank", lambda t: resolve.rank_search("brand 11", _cands(t)))
 add("mode_enrichment", lambda t: resolve.mode_by(t("part").select("p_brand", "p_type"), "p_brand", "p_type"), "SELECT p_brand, first(p_type ORDER BY c DESC, p_type) AS p_type FROM (SELECT p_brand, p_type, count(*) AS c FROM part GROUP BY ALL) GROUP BY p_brand")
