@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in spark.checkpoint.dir; a temporary folder stands in only where that is unset."""
+    """df from a reliable checkpoint in spark.checkpoint.dir; a temporary folder stands in only where that is unset and all
+    tasks run in this process."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)

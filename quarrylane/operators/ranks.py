@@ -33,10 +33,14 @@ def numbered(rows: DataFrame, order: str, name: str, start: int = 0) -> DataFram
     return out.withColumn(name, F.col("_offset") + place + 1).drop("_part", "_offset", "_id")
 
 
-def kept(rows: DataFrame, key: str, name: str, known: DataFrame) -> DataFrame:
-    """rows with the numbers that known (key, name) has for their keys; new keys are numbered behind the greatest of them."""
-    most = known.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
+def kept(rows: DataFrame, key: str, name: str, known: DataFrame | None, start: int | None = None) -> DataFrame:
+    """rows with the numbers that known (key, name) has for their keys; new keys are numbered behind the greatest of them, or
+    behind ``start``. Without known numbers all are new."""
+    if known is None:
+        return numbered(rows, key, name, start or 0)
+    if start is None:
+        start = known.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
     known = known.select(key, name).where(F.col(key).isNotNull()).dropDuplicates([key])
     old = rows.join(known, key)
-    new = numbered(rows.join(known.select(key), key, "left_anti"), key, name, most)
+    new = numbered(rows.join(known.select(key), key, "left_anti"), key, name, start)
     return old.select(*rows.columns, name).unionByName(new.select(*rows.columns, name))

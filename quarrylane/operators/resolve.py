@@ -5,13 +5,16 @@ Confidence is exact, fuzzy_high (90 and up: linked), fuzzy_low (75 and up: kept
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylane.functions import normalize as nz
-from quarrylane.operators import similarity, simjoin
+from quarrylane.operators import ranks, similarity, simjoin
 from quarrylane.operators.lineage import settled
+from quarrylane.operators.medians import null_safe
 
 HIGH, LOW = 90.0, 75.0
 
@@ -96,22 +99,37 @@ def resolve_projects(keys: DataFrame, devs: DataFrame, buildings: DataFrame, ove
 # -- dimensions -------------------------------------------------------------------------------------------------------
 
 
-def _numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Ids from 1 in key order. The keys are distinct names, so one task sorts a dimension, never a fact."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(order)))
+def _resolved(rows: DataFrame, known: DataFrame | None, same: list[str], how: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with what ``how`` finds for their keys; rows that are in known with the same columns keep what they had."""
+    if known is None:
+        return rows.join(how(rows), "key")
+    old = null_safe(rows, known, same, "inner")
+    new = settled(null_safe(rows, known.select(*same).distinct(), same, "left_anti"))
+    return old.unionByName(new.join(how(new), "key").select(*old.columns))
 
 
-def dim_area(raw_names: DataFrame, areas: DataFrame, subs: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+def dim_area(raw_names: DataFrame, areas: DataFrame, subs: DataFrame | None = None, overrides: DataFrame | None = None, known: DataFrame | None = None, same_catalogue: bool = False) -> DataFrame:
     """Areas of the facts (column name) and of the catalogue. Keys collapse spellings; unmatched names stay rows.
 
-    community_key is s and the catalogue id where there is one, else a and the area id.
+    community_key is s and the catalogue id where there is one, else a and the area id. Ids are those that ``known``, an earlier
+    dim_area, has for the keys; new keys come behind them in order. With ``same_catalogue`` its matches are kept too.
     """
     names = raw_names.where("name is not null").groupBy(nz.canonical_key("name").alias("key")).agg(F.min("name").alias("dld_area_name")).where("key <> ''")
-    m = match(names, settled(area_candidates(areas, subs)), overrides)
-    own = settled(_numbered(names.join(m, "key"), "key", "area_id"))
+    old = only_old = most = None
+    if known is not None:
+        own_old = known.where("match_confidence <> 'scraped_only'")
+        most = known.agg(F.coalesce(F.max("area_id"), F.lit(0))).first()[0]
+        ids = own_old.select(F.col("canonical_key").alias("key"), "area_id")
+        only_old = known.where("match_confidence = 'scraped_only'").select(F.col("scraped_area_id").alias("id"), "area_id")
+        if same_catalogue:
+            old = own_old.select(F.col("canonical_key").alias("key"), F.col("scraped_area_id").alias("matched_id"), F.col("match_confidence").alias("confidence"), F.col("match_score").alias("score"))
+    candidates = settled(area_candidates(areas, subs))
+    matched = _resolved(settled(names), old, ["key"], lambda rows: match(rows, candidates, overrides))
+    own = settled(ranks.kept(matched, "key", "area_id", None if known is None else ids, most))
     only = areas.select("id", "name", nz.canonical_key("name").alias("key")).join(own.select(F.col("matched_id").alias("id")).where("id is not null").distinct(), "id", "left_anti")
-    start = own.agg(F.coalesce(F.max("area_id"), F.lit(0)).alias("_m"))
-    only = _numbered(only, "id", "_k").join(start, F.lit(True)).select((F.col("_k") + F.col("_m")).alias("area_id"), F.lit(None).cast("string").alias("dld_area_name"), "key", F.col("id").cast("long").alias("matched_id"), F.lit("scraped_only").alias("confidence"), F.lit(None).cast("double").alias("score"))
+    start = own.agg(F.coalesce(F.max("area_id"), F.lit(0))).first()[0]
+    only = ranks.kept(only.withColumn("id", F.col("id").cast("long")), "id", "area_id", only_old, max(start, most or 0))
+    only = only.select("area_id", F.lit(None).cast("string").alias("dld_area_name"), "key", F.col("id").alias("matched_id"), F.lit("scraped_only").alias("confidence"), F.lit(None).cast("double").alias("score"))
     both = own.select("area_id", "dld_area_name", "key", F.col("matched_id").cast("long").alias("matched_id"), "confidence", "score").unionByName(only)
     both = both.join(areas.select(F.col("id").cast("long").alias("matched_id"), F.col("name").alias("_name")), "matched_id", "left")
     linked = F.col("matched_id").isNotNull()
@@ -121,20 +139,34 @@ def dim_area(raw_names: DataFrame, areas: DataFrame, subs: DataFrame | None = No
     )
 
 
-def dim_project(raw: DataFrame, developments: DataFrame, buildings: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Projects of the facts (columns name, master): one row per key; the master's name is tried where the own name has no match."""
+def dim_project(raw: DataFrame, developments: DataFrame, buildings: DataFrame, overrides: DataFrame | None = None, known: DataFrame | None = None, same_catalogue: bool = False) -> DataFrame:
+    """Projects of the facts (columns name, master): one row per key; the master's name is tried where the own name has no match.
+
+    Ids are those that ``known``, an earlier dim_project, has for the keys; with ``same_catalogue`` rows of the same name and master
+    keep their matches too.
+    """
     rows = raw.where("name is not null").withColumn("key", nz.canonical_key("name")).where("key <> ''")
     rows = first_by(rows, ["key"], F.asc_nulls_last("name"), F.asc_nulls_last("master")).withColumn("mkey", nz.canonical_key("master"))
     devs, built = project_candidates(developments, buildings)
     rows, devs, built = settled(rows), settled(devs), settled(built)
-    own = settled(resolve_projects(rows, devs, built, overrides))
-    open_ = own.where("development_id is null").join(rows.select("key", "mkey"), "key").where("mkey <> ''")
-    by_master = resolve_projects(open_.select(F.col("mkey").alias("key")).distinct(), devs, built).where("development_id is not null")
-    by_master = by_master.select(F.col("key").alias("mkey"), F.col("development_id").alias("_d"), F.col("building_id").alias("_b"), F.col("confidence").alias("_c"), F.col("score").alias("_s"))
-    out = _numbered(rows, "key", "project_id").join(own, "key").join(by_master, "mkey", "left")
-    use = F.col("development_id").isNull() & F.col("_d").isNotNull()
-    pick = lambda a, b: F.when(use, F.col(a)).otherwise(F.col(b))
-    return out.select("project_id", F.col("name").alias("dld_project_name"), F.col("master").alias("dld_master_project_name"), F.col("key").alias("canonical_key"), pick("_d", "development_id").alias("matched_development_id"), pick("_b", "building_id").alias("matched_building_id"), pick("_c", "confidence").alias("match_confidence"), pick("_s", "score").alias("match_score"))
+
+    def found(rows: DataFrame) -> DataFrame:
+        own = settled(resolve_projects(rows, devs, built, overrides))
+        open_ = own.where("development_id is null").join(rows.select("key", "mkey"), "key").where("mkey <> ''")
+        by_master = resolve_projects(open_.select(F.col("mkey").alias("key")).distinct(), devs, built).where("development_id is not null")
+        by_master = by_master.select(F.col("key").alias("mkey"), F.col("development_id").alias("_d"), F.col("building_id").alias("_b"), F.col("confidence").alias("_c"), F.col("score").alias("_s"))
+        out = rows.select("key", "mkey").join(own, "key").join(by_master, "mkey", "left")
+        use = F.col("development_id").isNull() & F.col("_d").isNotNull()
+        pick = lambda a, b: F.when(use, F.col(a)).otherwise(F.col(b))
+        return out.select("key", pick("_d", "development_id").alias("matched_development_id"), pick("_b", "building_id").alias("matched_building_id"), pick("_c", "confidence").alias("match_confidence"), pick("_s", "score").alias("match_score"))
+
+    old = ids = None
+    if known is not None:
+        ids = known.select(F.col("canonical_key").alias("key"), "project_id")
+        if same_catalogue:
+            old = known.select(F.col("canonical_key").alias("key"), F.col("dld_project_name").alias("name"), F.col("dld_master_project_name").alias("master"), "matched_development_id", "matched_building_id", "match_confidence", "match_score")
+    out = ranks.kept(_resolved(rows, old, ["key", "name", "master"], found), "key", "project_id", ids)
+    return out.select("project_id", F.col("name").alias("dld_project_name"), F.col("master").alias("dld_master_project_name"), F.col("key").alias("canonical_key"), "matched_development_id", "matched_building_id", "match_confidence", "match_score")
 
 
 def unique_slugs(rows: DataFrame, slug: str, order: str, within: list[str] | None = None) -> DataFrame:
@@ -147,10 +179,11 @@ def unique_slugs(rows: DataFrame, slug: str, order: str, within: list[str] | Non
     return out.withColumn(slug, F.col("_u")).drop("_n", "_u", "_k")
 
 
-def hierarchy(projects: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def hierarchy(projects: DataFrame, overrides: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(projects with master_project_id, building_label, building_slug, grouping_method; master projects).
 
     overrides (key, master_key) move a project to another family. Families with a hyphen split or an override need review.
+    Families keep the ids that ``known``, earlier master projects, has for their keys.
     """
     p = projects.withColumn("_s", nz.building_suffix(F.col("dld_project_name"), F.col("canonical_key")))
     p = p.select(*projects.columns, F.col("_s.master_key").alias("_m"), F.col("_s.label").alias("building_label"), F.col("_s.method").alias("grouping_method"))
@@ -158,7 +191,8 @@ def hierarchy(projects: DataFrame, overrides: DataFrame | None = None) -> tuple[
         p = p.join(overrides.select(F.col("key").alias("canonical_key"), F.col("master_key").alias("_o")), "canonical_key", "left")
         p = p.withColumn("grouping_method", F.when(F.col("_o").isNotNull(), "manual_override").otherwise(F.col("grouping_method"))).withColumn("_m", F.coalesce("_o", "_m")).drop("_o")
     families = p.groupBy("_m").agg(F.count(F.lit(1)).alias("building_count"), F.max(F.col("grouping_method").isin("hyphen_split", "manual_override")).alias("needs_review"))
-    families = _numbered(families, "_m", "master_project_id").withColumn("slug", nz.slugify("_m"))
+    ids = None if known is None else known.select(F.col("canonical_key").alias("_m"), "master_project_id")
+    families = settled(ranks.kept(families, "_m", "master_project_id", ids)).withColumn("slug", nz.slugify("_m"))
     masters = unique_slugs(families, "slug", "master_project_id").select("master_project_id", F.col("_m").alias("canonical_key"), nz.display_name("_m").alias("display_name"), "slug", "building_count", "needs_review")
     p = p.join(families.select("_m", "master_project_id"), "_m").drop("_m").withColumn("building_slug", nz.slugify(F.coalesce("dld_project_name", F.lit(""))))
     return unique_slugs(p, "building_slug", "project_id"), masters

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quarrylane.operators.versions import Store, Transaction
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -31,11 +35,24 @@ RENTALS = Dataset("dld_rentals", (
 DATASETS = (SALES, RENTALS)
 
 
+#: Bytes of a file within which its header ends.
+HEADER_BYTES = 1 << 16
+
+
+def _columns(line: str | None) -> list[str]:
+    """Column names of a header line, without a byte order mark or surrounding blanks."""
+    row = next(csv.reader([(line or "").lstrip("\ufeff").rstrip("\r")]), [])
+    return [x.strip() for x in row]
+
+
+def headers(spark: SparkSession, paths: list[str] | str) -> dict[str, list[str]]:
+    """Column names by path of some CSV files, or of those of a directory, read in one job."""
+    return {r["path"]: _columns(r["header"]) for r in files(spark, paths).select("path", "header").collect()}
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file, without a byte order mark or surrounding blanks."""
-    line = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
-    parsed = spark.read.csv(spark.sparkContext.parallelize([x[0].rstrip("\r") for x in line], 1)) if line else None
-    return [] if parsed is None else [(x or "").lstrip("﻿").strip() for x in parsed.first()]
+    """Column names of one CSV file."""
+    return next(iter(headers(spark, [path]).values()), [])
 
 
 def detect(columns: list[str], datasets: tuple[Dataset, ...] = DATASETS) -> Dataset | None:
@@ -44,16 +61,18 @@ def detect(columns: list[str], datasets: tuple[Dataset, ...] = DATASETS) -> Data
     return next((d for d in datasets if frozenset(d.columns) == found), None)
 
 
-def files(spark: SparkSession, directory: str) -> DataFrame:
-    """path, hash and modified of the CSV files of a directory, not of those below it; the hash is computed where the files are read."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "false").load(directory)
-    return raw.select("path", F.sha1("content").alias("hash"), F.col("modificationTime").alias("modified"))
+def files(spark: SparkSession, where: str | list[str]) -> DataFrame:
+    """path, hash, modified and header line of the CSV files of a directory, not of those below it, or of given files; all is
+    computed where the files are read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+    raw = (reader.option("pathGlobFilter", "*.csv") if isinstance(where, str) else reader).load(where)
+    line = F.substring_index(F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8"), "\n", 1)
+    return raw.select("path", F.sha1("content").alias("hash"), F.col("modificationTime").alias("modified"), line.alias("header"))
 
 
 def scan(spark: SparkSession, directory: str) -> tuple[list[tuple[str, Dataset]], list[str]]:
     """Recognised (path, dataset) pairs and unrecognised paths, both sorted."""
-    paths = sorted(r["path"] for r in files(spark, directory).select("path").collect())
-    kinds = [(p, detect(header(spark, p))) for p in paths]
+    kinds = [(p, detect(columns)) for p, columns in sorted(headers(spark, directory).items())]
     return [(p, d) for p, d in kinds if d], [p for p, d in kinds if not d]
 
 
@@ -68,8 +87,9 @@ def stage(spark: SparkSession, paths: list[str], dataset: Dataset) -> DataFrame:
     parallel. Empty and quoted-empty cells are NULL; the text NA is data; duplicate rows stay.
     """
     parts = []
-    for order in {tuple(header(spark, p)) for p in paths}:
-        own = [p for p in paths if tuple(header(spark, p)) == order] if len(paths) > 1 else paths
+    known = headers(spark, paths)
+    for order in sorted({tuple(columns) for columns in known.values()}):
+        own = [p for p in known if tuple(known[p]) == order]
         schema = T.StructType([T.StructField(c, T.StringType()) for c in order])
         reader = spark.read.schema(schema).options(header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=True)
         parts.append(reader.csv(own).select(*dataset.columns, F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("_i")))
@@ -103,38 +123,72 @@ def record(registry: DataFrame, done: DataFrame) -> DataFrame:
     return latest(registry.unionByName(done), ["path"], "imported_at")
 
 
-def replace_files(spark: SparkSession, staged: DataFrame, table_path: str) -> None:
-    """Write staged rows so that those of the same files are replaced and all others stay."""
-    out = staged.withColumn("file_id", F.sha1("source_file"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(table_path)
+def plain_path(path: str) -> str:
+    """A path without the scheme of local files, as both the file list and the readers' metadata name it."""
+    return "/" + path.split(":", 1)[-1].lstrip("/") if path.startswith("file:") else path
+
+
+def file_id(path: str) -> str:
+    return hashlib.sha1(plain_path(path).encode()).hexdigest()
+
+
+def staged_schema(dataset: Dataset) -> T.StructType:
+    """The columns of a staging table."""
+    text = [T.StructField(c, T.StringType()) for c in (*dataset.columns, "source_file")]
+    return T.StructType([*text, T.StructField("row_num", T.LongType()), T.StructField("file_hash", T.StringType()), T.StructField("imported_at", T.TimestampType()), T.StructField("file_id", T.StringType())])
+
+
+def replace_files(tx: Transaction, staged: DataFrame, dataset: Dataset, paths: list[str]) -> dict[str, int]:
+    """Staged rows of some files in place of those files' rows, all other files' rows kept; the rows by path."""
+    name = f"stg_{dataset.name}"
+    own = F.sha1(F.regexp_replace("source_file", "^file:/+", "/").cast("binary"))
+    rows = staged.withColumn("file_id", own).select(staged_schema(dataset).names)
+    tx.replace_parts(name, rows, "file_id", clear=[file_id(p) for p in paths])
+    counts = tx.tables[name]["rows"]
+    return {p: counts.get(file_id(p), 0) for p in paths}
 
 
 def import_file(spark: SparkSession, path: str, table_dir: str) -> dict:
-    """Stage one file; a file with an unknown header is an error."""
+    """Stage one file into the store at table_dir; a file with an unknown header is an error."""
     dataset = detect(header(spark, path))
     if dataset is None:
         raise ValueError(f"unknown header: {path}")
-    staged = stage(spark, [path], dataset)
-    replace_files(spark, staged, f"{table_dir}/stg_{dataset.name}")
-    return {"dataset": dataset.name, "rows": staged.count()}
+    with Store(spark, table_dir).write() as tx:
+        rows = replace_files(tx, stage(spark, [path], dataset), dataset, [path])
+    return {"dataset": dataset.name, "rows": rows[path]}
 
 
-def refresh(spark: SparkSession, directory: str, table_dir: str, registry: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
-    """Stage every new or changed recognised file; the new registry and the rows staged per dataset."""
-    registry = spark.createDataFrame([], REGISTRY) if registry is None else registry
-    todo = {r["path"]: r for r in needs_import(files(spark, directory), registry).collect()}
-    counts: dict[str, int] = {}
-    done = []
+def stage_changed(spark: SparkSession, directory: str, tx: Transaction) -> tuple[dict[str, dict], list[str]]:
+    """Stage every new or changed recognised file and note it in the store's registry.
+
+    Returns dataset, rows, hash and modified by path, and the paths of unknown headers.
+    """
+    base = tx.snapshot()
+    registry = base.table("import_registry") if "import_registry" in base else spark.createDataFrame([], REGISTRY)
+    found = files(spark, directory)
+    kinds = {r["path"]: detect(_columns(r["header"])) for r in found.select("path", "header").collect()}
+    todo = {r["path"]: r for r in needs_import(found.drop("header"), registry).collect() if kinds.get(r["path"])}
+    staged: dict[str, dict] = {}
     for dataset in DATASETS:
-        own = [p for p, d in scan(spark, directory)[0] if d is dataset and p in todo]
+        own = sorted(p for p in todo if kinds[p] is dataset)
         if own:
-            replace_files(spark, stage(spark, own, dataset), f"{table_dir}/stg_{dataset.name}")
-            rows = {r[0]: r[1] for r in spark.read.parquet(f"{table_dir}/stg_{dataset.name}").groupBy(F.regexp_replace("source_file", "^file:/+", "/")).count().collect()}
-            strip = lambda p: "/" + p.split(":", 1)[-1].lstrip("/")
-            done += [(p, todo[p]["hash"], todo[p]["modified"], dataset.name, rows.get(strip(p), 0), "success") for p in own]
-            counts[dataset.name] = sum(rows.get(strip(p), 0) for p in own)
-    new = spark.createDataFrame(done, REGISTRY.rsplit(",", 1)[0]).withColumn("imported_at", F.current_timestamp())
-    return record(registry, new), counts
+            rows = replace_files(tx, stage(spark, own, dataset), dataset, own)
+            staged |= {p: {"dataset": dataset.name, "rows": rows[p], "hash": todo[p]["hash"], "modified": todo[p]["modified"]} for p in own}
+    if staged:
+        done = [(p, s["hash"], s["modified"], s["dataset"], s["rows"], "success") for p, s in staged.items()]
+        new = spark.createDataFrame(done, REGISTRY.rsplit(",", 1)[0]).withColumn("imported_at", F.current_timestamp())
+        tx.replace("import_registry", record(registry, new))
+    return staged, sorted(p for p, d in kinds.items() if d is None)
+
+
+def refresh(spark: SparkSession, directory: str, table_dir: str) -> dict[str, int]:
+    """Stage every new or changed recognised file into the store at table_dir; the rows staged per dataset."""
+    with Store(spark, table_dir).write() as tx:
+        staged, _ = stage_changed(spark, directory, tx)
+    counts: dict[str, int] = {}
+    for s in staged.values():
+        counts[s["dataset"]] = counts.get(s["dataset"], 0) + s["rows"]
+    return counts
 
 
 def log_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from quarrylane.functions import normalize as nz
 from quarrylane.operators import incremental as inc
 from quarrylane.operators import pages as pg
 from quarrylane.operators import medians, resolve, similarity, trees, warehouse
+from quarrylane.operators.versions import Store
 from quarrylane.sources import export, staging
 from quarrylane.streaming import events
 
@@ -87,13 +88,11 @@ def test_staging(spark, extracts, tmp_path_factory):
     a = sorted((r for r in rows if r["source_file"].endswith("a.csv")), key=lambda r: r["row_num"])
     assert len(rows) == 5 and [r["row_num"] for r in a] == [0, 1, 2, 3] and a[2]["PARKING"] == "NA" and a[2]["NEAREST_MALL_EN"] == 'two\nlines "q"' and a[0]["PARKING"] is None
     out = str(tmp_path_factory.mktemp("tables"))
-    registry, counts = staging.refresh(spark, str(extracts), out)
-    assert counts == {"dld_sales": 5, "dld_rentals": 1}
-    registry = spark.createDataFrame(registry.collect(), registry.schema)
-    assert staging.refresh(spark, str(extracts), out, registry)[1] == {}
+    assert staging.refresh(spark, str(extracts), out) == {"dld_sales": 5, "dld_rentals": 1}
+    assert staging.refresh(spark, str(extracts), out) == {}
     write_csv(extracts / "b.csv", list(staging.SALES.columns), [sale(), sale()])
-    assert staging.refresh(spark, str(extracts), out, registry)[1] == {"dld_sales": 2}
-    assert spark.read.parquet(f"{out}/stg_dld_sales").count() == 6
+    assert staging.refresh(spark, str(extracts), out) == {"dld_sales": 2}
+    assert Store(spark, out).table("stg_dld_sales").count() == 6
     with pytest.raises(ValueError):
         staging.import_file(spark, str(extracts / "odd.csv"), out)
 
