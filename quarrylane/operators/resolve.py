@@ -129,7 +129,7 @@ def dim_area(raw_names: DataFrame, areas: DataFrame, subs: DataFrame | None = No
     only = areas.select("id", "name", nz.canonical_key("name").alias("key")).join(own.select(F.col("matched_id").alias("id")).where("id is not null").distinct(), "id", "left_anti")
     start = own.agg(F.coalesce(F.max("area_id"), F.lit(0))).first()[0]
     only = ranks.kept(only.withColumn("id", F.col("id").cast("long")), "id", "area_id", only_old, max(start, most or 0))
-    only = only.select("area_id", F.lit(None).cast("string").alias("dld_area_name"), "key", F.col("id").alias("matched_id"), F.lit("scraped_only").alias("confidence"), F.lit(None).cast("double").alias("score"))
+    only = only.select("area_id", F.lit(None).cast("string").alias("dld_area_name"), "key", F.col("id").alias("matched_id"), F.lit("scraped_only").alias("confidence"), F.lit(100.0).alias("score"))
     both = own.select("area_id", "dld_area_name", "key", F.col("matched_id").cast("long").alias("matched_id"), "confidence", "score").unionByName(only)
     both = both.join(areas.select(F.col("id").cast("long").alias("matched_id"), F.col("name").alias("_name")), "matched_id", "left")
     linked = F.col("matched_id").isNotNull()

@@ -50,9 +50,9 @@ def _grams(keys: DataFrame) -> DataFrame:
 
 def _ordered(rows: DataFrame, frequent: DataFrame) -> DataFrame:
     """Bigrams from rare to frequent; the table of frequent ones has at most ORDERED rows."""
-    each = rows.select("key", "n", F.explode("grams").alias("gram")).join(F.broadcast(frequent), "gram", "left")
-    listed = each.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram"))).alias("_g"))
-    return listed.select("key", "n", F.transform("_g", lambda x: x["gram"]).alias("grams"))
+    each = rows.select("side", "key", "n", F.explode("grams").alias("gram")).join(F.broadcast(frequent), "gram", "left")
+    listed = each.groupBy("side", "key", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram"))).alias("_g"))
+    return listed.select("side", "key", "n", F.transform("_g", lambda x: x["gram"]).alias("grams"))
 
 
 def _floor(total: Column, least: float) -> Column:
@@ -73,7 +73,7 @@ def _depths(rows: DataFrame, least: float) -> DataFrame:
     deep = (low <= LONG) & (_floor(F.least(high, F.lit(LONG)), least) >= DEEPEST)
     depths = F.filter(F.array(F.when(high > LONGER, 1), F.when(shallow, 2), F.when(deep, DEEPEST)), lambda d: d.isNotNull())
     rows = rows.withColumn("depth", F.explode(depths)).withColumn("common", F.greatest(_floor(low, least), "depth"))
-    return rows.select("key", "n", "grams", "depth", "common", F.lit(0).alias("at"), F.concat(F.col("depth").cast("string"), F.lit("|")).alias("sig"))
+    return rows.select("side", "key", "n", "grams", "depth", "common", F.lit(0).alias("at"), F.concat(F.col("depth").cast("string"), F.lit("|")).alias("sig"))
 
 
 def _longer(rows: DataFrame, level: int) -> DataFrame:
@@ -89,31 +89,42 @@ def similar(left: DataFrame, right: DataFrame, least: float, most_pairs: int = 5
     """key (of left), other (of right) and score of all pairs of distinct non-empty keys with a score of ``least`` or more."""
     if least <= LOWEST:
         raise ValueError(f"the bound must be above {LOWEST:.2f}")
-    a, b = settled(_grams(left)), settled(_grams(right))
-    counts = a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("times"))
-    counts = settled(counts)
-    total = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    frequent = counts.where(F.col("times") > total / ORDERED)
-    a, b = _depths(_ordered(a, frequent), least), _depths(_ordered(b, frequent), least)
-    pairs = None
-    for level in range(1, DEEPEST + 1):
-        a, b = _longer(a, level), _longer(b, level)
-        if level < DEEPEST:
-            a, b = settled(a), settled(b)
-            lists = a.groupBy("sig").agg(F.count("*").alias("_l")).join(b.groupBy("sig").agg(F.count("*").alias("_r")), "sig")
-            large = settled(lists.where((F.col("_l") * F.col("_r") > most_pairs)).select("sig"))
-            more = [rows.join(large, "sig", "left_semi").where(F.col("depth") > level) for rows in (a, b)]
-            split = large.where(F.substring("sig", 1, 1).cast("int") > level)
-            a, b = (rows.join(split, "sig", "left_anti") for rows in (a, b))
-        found = _meet(a, b, level, least)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if level == DEEPEST or split.isEmpty():
-            break
-        a, b = more
+    both = _grams(left).withColumn("side", F.lit(0)).unionByName(_grams(right).withColumn("side", F.lit(1)))
+    both = settled(both)
+    sizes = {r["side"]: (r["n"], r["g"]) for r in both.groupBy("side").agg(F.count("*").alias("n"), F.sum(F.size("grams")).alias("g")).collect()}
+    if len(sizes) < 2:
+        return left.sparkSession.createDataFrame([], "key string, other string, score double")
+    if sizes[0][0] * sizes[1][0] <= most_pairs:
+        # no list can be too large: any order of the bigrams serves, and the first level finds all pairs
+        both = _depths(both.withColumn("grams", F.array_sort("grams")), least)
+        pairs = _meet(*_sides(_longer(both, 1)), 1, least)
+    else:
+        pairs = _split_and_meet(both, sum(g for _, g in sizes.values()), least, most_pairs)
     scored = pairs.withColumn("score", similarity.token_sort("key", "other"))
     return scored.where(F.col("score") >= least - 1e-9)
 
 
+def _sides(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return both.where("side = 0"), both.where("side = 1")
+
+
+def _split_and_meet(both: DataFrame, grams: int, least: float, most_pairs: int) -> DataFrame:
+    frequent = both.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("times")).where(F.col("times") > grams / ORDERED)
+    both, pairs = _depths(_ordered(both, frequent), least), None
+    for level in range(1, DEEPEST + 1):
+        both = _longer(both, level)
+        if level == DEEPEST:
+            return pairs.unionByName(_meet(*_sides(both), level, least))
+        both = settled(both)
+        lists = both.groupBy("sig", "depth").agg(F.sum(1 - F.col("side")).alias("_l"), F.sum("side").alias("_r"))
+        large = settled(lists.where((F.col("_l") * F.col("_r") > most_pairs) & (F.col("depth") > level)).select("sig"))
+        found = _meet(*_sides(both.join(large, "sig", "left_anti")), level, least)
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if large.isEmpty():
+            return pairs
+        both = both.join(large, "sig", "left_semi")
+
+
 def _meet(a: DataFrame, b: DataFrame, level: int, least: float) -> DataFrame:
     """Pairs of one signature that may reach the bound."""
     other = b.select(F.col("key").alias("other"), F.col("n").alias("m"), F.col("grams").alias("_h"), "sig")
