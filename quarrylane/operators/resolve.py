@@ -222,9 +222,10 @@ def enrich_masters(masters: DataFrame, sales: DataFrame, rentals: DataFrame, pro
 
 def rank_search(query: str, candidates: DataFrame, overrides: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """Candidates (key, name, kind master or building) that match a query, by tier: override 2 (looked up first), exact
-    master 0, exact building 1, prefix 3, all tokens 4, similarity of 70 or more 5. Queries under two characters find nothing."""
+    master 0, exact building 1, prefix 3, all tokens 4, similarity of 70 or more 5. Queries under two characters find nothing.
+    One query over a small list; ``search`` serves many queries over an index."""
     rows = candidates.withColumn("_q", nz.canonical_key(F.lit(query)))
-    rows = rows.withColumn("score", F.when(F.col("_q") == F.col("key"), 100.0).otherwise(similarity.token_sort("_q", "key")))
+    rows = rows.withColumn("score", similarity.token_sort("_q", "key"))
     forced = F.lit(False)
     if overrides is not None:
         rows = rows.join(overrides.select(F.col("key").alias("_q"), F.col("target").alias("_t")), "_q", "left")
@@ -235,17 +236,11 @@ def rank_search(query: str, candidates: DataFrame, overrides: DataFrame | None =
         .when(F.startswith("key", "_q"), 3).when(tokens, 4).when(F.col("score") >= 70, 5)
     )
     rows = rows.where(F.length("_q") >= 2).withColumn("tier", tier).where("tier is not null")
+    rows = rows.withColumn("score", F.when(F.col("tier") <= 2, 100.0).when(F.col("tier") == 3, 90.0).when(F.col("tier") == 4, 80.0).otherwise(F.col("score")))
     order = ["tier", F.when(F.col("kind") == "master", 0).otherwise(1), F.desc("score"), "name"]
     return rows.orderBy(*order).limit(limit).select("name", "kind", "key", "tier", "score")
 
 
-def suggest(query: str, masters: DataFrame, projects: DataFrame, overrides: DataFrame | None = None, limit: int = 8) -> DataFrame:
-    """Search over master projects and buildings."""
-    m = masters.select(F.col("canonical_key").alias("key"), F.col("display_name").alias("name"), F.lit("master").alias("kind"))
-    b = projects.select(F.col("canonical_key").alias("key"), F.col("dld_project_name").alias("name"), F.lit("building").alias("kind"))
-    return rank_search(query, m.unionByName(b), overrides, limit)
-
-
 def review_queue(dimension: DataFrame, key: str, limit: int = 50) -> DataFrame:
     return dimension.where("match_confidence = 'fuzzy_low'").orderBy(F.desc_nulls_last("match_score"), key).limit(limit)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylane.functions import metrics, normalize as nz, urls, vocabulary as v
 from quarrylane.operators import incremental as inc
 from quarrylane.operators import pages as pg
-from quarrylane.operators import medians, resolve, similarity, trees, warehouse
+from quarrylane.operators import medians, resolve, search, similarity, trees, warehouse
 from quarrylane.plans import catalogue as cat
 from quarrylane.plans import market
 from quarrylane.plans.market import PRELUDE, STATUSES
@@ -111,7 +111,40 @@ add("exact_match", lambda t: resolve.match(t("supplier").select(nz.canonical_key
 add("token_sort_scores", lambda t: t("part").select("p_partkey", similarity.token_sort(F.lower("p_name"), F.lower("p_type")).alias("score")), f"""
 SELECT p_partkey, {sql_ratio('a', 'b')} AS score FROM (SELECT p_partkey, {sql_sorted('lower(p_name)')} AS a, {sql_sorted('lower(p_type)')} AS b FROM part)""")
 _cands = lambda t: t("part").select(nz.canonical_key("p_name").alias("key"), F.col("p_name").alias("name"), F.lit("building").alias("kind")).unionByName(t("part").select(nz.canonical_key("p_brand").alias("key"), F.col("p_brand").alias("name"), F.lit("master").alias("kind")).distinct())
-add("search_rank", lambda t: resolve.rank_search("brand 11", _cands(t)))
+
+
+def _sql_tiers(queries: str, entries: str, limit: int) -> str:
+    """Ranked results of every query (q) among entries (key, kind, name, id) by comparing all pairs."""
+    words = lambda c: f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
+    return f"""
+WITH queries AS ({queries}), entries AS ({entries}),
+pairs AS (SELECT *, {sql_sorted('q')} AS a, {sql_sorted('key')} AS b FROM queries, entries),
+scored AS (SELECT *, {sql_ratio('a', 'b')} AS ratio FROM pairs),
+tiers AS (
+  SELECT *, CASE WHEN key = q AND kind = 'master' THEN 0 WHEN key = q THEN 1 WHEN starts_with(key, q) THEN 3 WHEN list_has_all({words('key')}, {words('q')}) THEN 4 WHEN ratio >= 70 THEN 5 END::INT AS tier FROM scored),
+ranked AS (
+  SELECT *, CASE WHEN tier <= 1 THEN 100.0 WHEN tier = 3 THEN 90.0 WHEN tier = 4 THEN 80.0 ELSE ratio END::DOUBLE AS score FROM tiers WHERE tier IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, CASE kind WHEN 'master' THEN 0 ELSE 1 END, score DESC, name, id)::INT AS position FROM ranked)
+SELECT * FROM placed WHERE position <= {limit}"""
+
+
+_entries_sql = f"SELECT {KEY.format(x='p_name')} AS key, 'building' AS kind, p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name UNION ALL SELECT {KEY.format(x='p_brand')}, 'master', p_brand, min(p_partkey) FROM part GROUP BY p_brand"
+add("search_rank", lambda t: resolve.rank_search("brand 11", _cands(t).distinct()), f"SELECT name, kind, key, tier, score FROM ({_sql_tiers("SELECT 'brand 11' AS q", _entries_sql, 10)})")
+
+
+def _search_entries(t: T) -> DataFrame:
+    of = lambda c, kind: t("part").groupBy(c).agg(F.min("p_partkey").cast("long").alias("id")).select(nz.canonical_key(c).alias("key"), "id", F.lit(kind).alias("kind"), F.col(c).alias("name"), F.lit(kind).alias("subtitle"), nz.slugify(F.col(c)).alias("slug"), F.lit(None).cast("string").alias("master_slug"))
+    return of("p_name", "building").unionByName(of("p_brand", "master"))
+
+
+def search_index(t: T) -> DataFrame:
+    """Every brand, misspelt name and word of a type as a query over names and brands."""
+    asked = t("part").select(F.explode(F.array(F.col("p_brand"), F.concat(F.substring("p_name", 1, 3), F.substring("p_name", 5, 200)), F.substring("p_name", 1, 3), F.substring_index("p_name", " ", -1))).alias("query"))
+    return search.search(asked, search.index(_search_entries(t))).select("query", "position", "key", "id", "kind", "tier", "score")
+
+
+_asked_sql = f"SELECT DISTINCT query, {KEY.format(x='query')} AS q FROM (SELECT unnest([p_brand, substr(p_name, 1, 3) || substr(p_name, 5, 200), substr(p_name, 1, 3), string_split(p_name, ' ')[-1]]) AS query FROM part) WHERE length(trim(query)) >= 2"
+add("search_index", search_index, f"SELECT query, position, key, id, kind, tier, score FROM ({_sql_tiers(_asked_sql, _entries_sql, 12)})")
 add("mode_enrichment", lambda t: resolve.mode_by(t("part").select("p_brand", "p_type"), "p_brand", "p_type"), "SELECT p_brand, first(p_type ORDER BY c DESC, p_type) AS p_type FROM (SELECT p_brand, p_type, count(*) AS c FROM part GROUP BY ALL) GROUP BY p_brand")
 add("unique_slugs", lambda t: resolve.unique_slugs(t("part").select(K(), nz.slugify("p_brand").alias("slug")), "slug", "p_partkey"), "SELECT p_partkey, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS slug FROM (SELECT p_partkey, s, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS n FROM (SELECT p_partkey, lower(replace(p_brand, '#', '-')) AS s FROM part))")
 
