@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.functions.normalize import elapsed
-from quarrylane.operators.trees import closure, subtree_counts
+from quarrylane.operators import trees
+from quarrylane.operators.trees import subtree_counts
 from quarrylane.plans.market import STATUSES
 
 
@@ -77,10 +78,11 @@ def sub_communities(rows: DataFrame, area_id) -> DataFrame:
     return rows.where(F.col("parent_area_id") == area_id).orderBy("name")
 
 
-def in_area(rows: DataFrame, areas: DataFrame, area_id) -> DataFrame:
-    """The rows of an area and of all areas below it."""
-    ids = closure(areas).where(F.col("root") == area_id).select(F.col("node").alias("area_id"))
-    return rows.join(ids, "area_id", "left_semi")
+def in_area(rows: DataFrame, areas: DataFrame, area_id, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of an area and of all areas below it: by the tree's interval labels where there are any, else from the area down."""
+    root = areas.where(F.col("id") == area_id).select("id")
+    ids = trees.subtrees(labelled, root).select(F.col("node").alias("area_id")) if labelled is not None else trees.below(areas, root).select(F.col("id").alias("area_id"))
+    return rows.join(ids.distinct(), "area_id", "left_semi")
 
 
 def unit_coverage(developments: DataFrame, areas: DataFrame, area_id) -> DataFrame:

@@ -173,6 +173,7 @@ _items = lambda t: t("supplier").select(F.concat(F.lit("n"), "s_nationkey").alia
 ROLLUP = "SELECT 'n' || n_nationkey AS id, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) FROM region"
 add("tree_rollup", lambda t: trees.subtree_counts(_nodes(t), _items(t), "area_id"), ROLLUP)
 add("tree_closure_recursive", lambda t: trees.closure_recursive(t("region").sparkSession, _nodes(t)), "SELECT 'n' || n_nationkey AS root, 'n' || n_nationkey AS node FROM nation UNION SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation")
+add("tree_interval_labels", lambda t: trees.subtrees(trees.labels(_nodes(t)), _nodes(t)), "SELECT 'n' || n_nationkey AS root, 'n' || n_nationkey AS node FROM nation UNION SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation")
 add("catalogue_areas", lambda t: cat.list_areas(_nodes(t), _items(t), "a"), f"SELECT * FROM ({ROLLUP}) WHERE name ILIKE '%a%'")
 dev = lambda t: market.stand_in(t("region").sparkSession, t("region").inputFiles()[0].rsplit("/", 1)[0]).developments
 
