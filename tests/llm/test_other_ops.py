@@ -398,4 +398,4 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
