@@ -168,11 +168,6 @@ def job_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(n("processed"), n("error"), n("blocked"), state, F.min("at").alias("started_at"), F.max("at").alias("last_event_at"))
 
 
-def frontier(links: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Links (source, url, in_scope) to follow: pages out of scope are fetched when a trusted page names them, but their own links are not followed."""
-    return links.join(trusted.select(F.col("url").alias("source")).distinct(), "source", "left_semi").select("url", "in_scope").groupBy("url").agg(F.max("in_scope").alias("trusted"))
-
-
 def migrate(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """rows with the columns that are new in the schema, NULL so far."""
     for name, kind in columns.items():

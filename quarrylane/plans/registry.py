@@ -208,11 +208,12 @@ add("dq_summary", lambda k: Q.data_quality(k), "SELECT 'area_match' AS measure,
     + " ".join(f"UNION ALL SELECT '{f}', name, n FROM (UNPIVOT {_INVALID(f, 'val')} ON rows, without_area, without_project, invalid_value, invalid_area INTO NAME name VALUE n)" for f in ("sales", "rentals")))
 add("hierarchy_review", lambda k: Q.hierarchy_review(k), "SELECT slug, buildings AS building_count, string_agg(pname, '|' ORDER BY pname, method) AS buildings, string_agg(method, '|' ORDER BY pname, method) AS methods FROM master JOIN project USING (master_id) WHERE review GROUP BY slug, master.buildings ORDER BY building_count DESC, slug LIMIT 50")
 
+from quarrylane.plans import crawl_registry as _crawl  # noqa: E402
 from quarrylane.plans import operators_registry as _single  # noqa: E402
 from quarrylane.plans import site_registry as _site  # noqa: E402
 
-QUERIES |= _single.QUERIES | _site.QUERIES
-ORACLES |= _single.ORACLES | _site.ORACLES
+QUERIES |= _single.QUERIES | _site.QUERIES | _crawl.QUERIES
+ORACLES |= _single.ORACLES | _site.ORACLES | _crawl.ORACLES
 
 
 # -- oracles made of others -------------------------------------------------------------------------------------------
