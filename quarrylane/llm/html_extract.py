@@ -5,7 +5,8 @@ and by what surrounds it (kinds of containers, hints in class, id and role). A s
 from page patterns, trains one decision tree; blocks that it calls main are joined in page order.
 
 Defined cases: null or empty html gives an empty text; text with no markup is one block; unclosed tags, quotes and
-comments never fail; repeated rows give equal results; other columns are ignored; an empty table gives an empty result.
+comments never fail, and the time for a page is in proportion to its length; repeated rows give equal results; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Tags inside a line of text; all others end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -29,6 +32,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIPPED = frozenset("script style noscript template title textarea select svg math iframe object canvas audio video head".split())
 #: Containers whose opening and closing is tracked.
 CONTAINERS = frozenset("html body div section article main nav header footer aside form menu dialog ul ol dl table figure details fieldset button".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_TAGS = frozenset("nav header footer aside form menu dialog button fieldset".split())
 #: Words in class, id or role that name what is not main text.
 BAD_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside
@@ -40,6 +44,8 @@ BAD_PARTS = re.compile(r"sidebar|comments?|cookies?|advert|adsby|footer|navbar|n
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GOOD_WORDS = frozenset("content article post entry story text main body".split())
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: Zeros before a number in a character reference, and numbers of no character.
+ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
 FEATURES = ("bad_tag", "bad_hint", "in_main", "page_has_main", "good_hint", "heading", "words", "link_density", "words_before", "links_before", "words_after", "links_after")
 
 
@@ -55,6 +61,81 @@ class Block:
     heading: bool
 
 
+def decoded(text: str) -> str:
+    """text without character references; numbers of any length are read."""
+    return html.unescape(TOO_LARGE.sub("\ufffd", ZEROS.sub("&#", text))) if "&" in text else text
+
+
+@dataclass
+class Mark:
+    """A tag, comment, declaration or CDATA section from start to stop."""
+
+    start: int
+    stop: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+    text: str = ""
+
+
+class Marks:
+    """The marks of a page in order, in time proportional to its length.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one where its quotes do not close. Quotes from which no end
+    can be reached are noted, so no stretch is searched in vain again; a ``<`` behind the last ``>`` is text.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.last_section, self.open_quotes = page, page.rfind(">"), page.rfind("]]>"), set()
+
+    def end(self, at: int) -> int:
+        """Where the ``>`` is that ends a tag whose attributes begin at ``at``; -1 if its quotes do not close."""
+        quotes: list[int] = []
+        while (m := QUOTE_OR_END.search(self.page, at)) and m[0] != ">":
+            quotes.append(m.start())
+            close = -1 if m.start() in self.open_quotes else self.page.find(m[0], m.end())
+            if close < 0:
+                m = None
+                break
+            at = close + 1
+        if m:
+            return m.start()
+        self.open_quotes.update(quotes)
+        return -1
+
+    def next(self, at: int) -> Mark | None:
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                return Mark(at, len(page) if stop < 0 else stop + 3)
+            if at > self.last:
+                at = page.find("<!--", at)  # only a comment may end with the page
+                return Mark(at, len(page)) if at >= 0 else None
+            if page.startswith("<![CDATA[", at) and at + 9 <= self.last_section:
+                stop = page.find("]]>", at + 9)
+                return Mark(at, stop + 3, text=page[at + 9 : stop])
+            if page[at + 1 : at + 2] in ("!", "?"):
+                return Mark(at, page.find(">", at) + 1)
+            if m := NAME.match(page, at + 1):
+                stop = self.end(m.end())
+                stop = page.find(">", m.end()) if stop < 0 else stop
+                return Mark(at, stop + 1, m[2].lower(), bool(m[1]), page[m.end() : stop])
+            at += 1
+        return None
+
+    def skipped(self, name: str, at: int) -> int:
+        """Where the page goes on behind the content of ``name``; a head without an end ends at the body."""
+        found = re.compile(rf"</{re.escape(name)}\b" + (r"|<body\b" if name == "head" else ""), re.I)
+        while m := found.search(self.page, at):
+            if not m[0].startswith("</"):
+                return m.start()
+            if m.end() <= self.last:
+                return self.page.find(">", m.end()) + 1
+            at = m.end()
+        return len(self.page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
@@ -62,52 +143,54 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     state = {"link": 0, "heading": False}
+    names: Counter[str] = Counter()  # how often each name is on the stack
 
     def end() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            n = len(html.unescape("".join(linked)).split())
+        if parts and (text := " ".join(decoded("".join(parts)).split())):
+            n = len(decoded("".join(linked)).split())
             _, bad_tag, bad_hint, in_main, good = stack[-1]
             out.append(Block(text, len(text.split()), n, bad_tag, bad_hint, in_main, good, state["heading"]))
         parts.clear(), linked.clear()
 
     def add(text: str) -> None:
+        if not text:
+            return
         parts.append(text)
         if state["link"]:
             linked.append(text + " ")
 
-    at, size = 0, len(page)
+    def leave(k: int) -> None:
+        for x in stack[k:]:
+            names[x[0]] -= 1
+        del stack[k:]
+
+    at, size, marks = 0, len(page), Marks(page)
     while at < size:
-        m = TAG.search(page, at)
+        m = marks.next(at)
         if not m:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        add(page[at : m.start])
+        at, name, closing, attributes = m.stop, m.name, m.closing, m.attributes
         if not name:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+            add(m.text)
             continue
-        closing = bool(m[1] or m[4])
-        attributes = m[3] or m[6] or ""
         if name in SKIPPED:
             if name not in INLINE:
                 end()
             if not closing and not attributes.rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(page, at)
-                at = stop.end() if stop else size
+                at = marks.skipped(name, at)
             continue
         words: set[str] = set()
         hidden = False
-        for key, value in [] if closing else ATTRIBUTE.findall(attributes):
+        for key, value in ATTRIBUTE.findall(attributes) if attributes and not closing else []:
             hidden |= key.lower() == "hidden" or key.lower() == "style" and bool(re.search(r"(?i)display\s*:\s*none", value))
             if key.lower() != "style":
                 words |= {w.lower() for w in WORDS.findall(value)}
         bad = hidden or bool(words & BAD_WORDS) or any(BAD_PARTS.search(w) for w in words)
         # an element that names itself as something else is a container too, whatever its tag
         marked = bad and name not in VOID and name not in ("html", "body", "article", "main")
-        open_marked = closing and name not in CONTAINERS and any(x[0] == name for x in stack)
+        open_marked = closing and name not in CONTAINERS and names[name] > 0
         if name == "a":
             state["link"] = 0 if closing else 1
         if name in INLINE and not marked and not open_marked:
@@ -115,16 +198,14 @@ def blocks_of(page: str) -> list[Block]:
         end()
         if name not in INLINE:
             state["link"] = state["link"] if name in ("br", "li", "p") else 0
-            state["heading"] = not closing and bool(re.fullmatch(r"h[1-6]", name))
+            state["heading"] = not closing and name in HEADINGS
             if stack[-1][0] == "p" and name != "br":  # a paragraph ends where the next block begins
-                stack.pop()
+                leave(-1)
             if not closing and name in ("li", "td", "tr", "dt", "dd", "option") and stack[-1][0] == name:
-                stack.pop()
+                leave(-1)
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if names[name]:
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
         elif (name in CONTAINERS or marked) and not attributes.endswith("/"):
             _, bad_tag, bad_hint, in_main, good = stack[-1]
             if name in ("article", "main"):
@@ -132,6 +213,7 @@ def blocks_of(page: str) -> list[Block]:
             elif name not in ("html", "body"):
                 bad_hint |= bad
                 good |= bool(words & GOOD_WORDS) and not bad_hint
+            names[name] += 1
             stack.append((name, bad_tag or name in BAD_TAGS, bad_hint, in_main, good))
     end()
     return out

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -201,6 +202,23 @@ def test_main_text(page, text):
     assert html_extract.main_text(page, html_extract.train()) == text
 
 
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a \"'> ", "<div>", "</div>", "<div></x>", "<![CDATA[", "<!", "<script ", "</script ", "<p class=ad>", "</b>", 'class=" ', "<", "&#", "<b id='nav' "])
+def test_hostile_pages_take_linear_time(part):
+    """A megabyte of a part that never closes, alone and around other text."""
+    for page in (part * (1_000_000 // len(part)), "<p class=ad>" + part * (500_000 // len(part)) + "</x>" * 100_000 + ">"):
+        start = time.perf_counter()
+        html_extract.blocks_of(page)
+        assert time.perf_counter() - start < 10
+
+
+def test_sections_quotes_and_references():
+    texts = lambda page: [b.text for b in html_extract.blocks_of(page)]
+    assert texts("a <![CDATA[x < y]]> b") == ["a x < y b"] and texts("<![CDATA[<p>x") == ["x"]
+    assert texts("<p title='a > b'>x</p>") == ["x"] and texts("<p title='a>x</p>") == ["x"] and texts("2 < 3 and <") == ["2 < 3 and <"]
+    assert texts("&#" + "0" * 6000 + "65; &#" + "9" * 6000 + "; &#x41;") == ["A \ufffd A"]
+    assert texts("<script>a</script x</p><p>b") == ["b"] and texts("x<!-- y") == ["x"] and texts("<head>t<body>b") == ["b"]
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     rows = html_extract.extract(pages).collect()
