@@ -167,6 +167,11 @@ def length_class(n: Column, least: float) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(-float(np.log(least))) + 1e-9).cast("int")
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """One row for each id, with its other columns as a list: at most two for each sketch, times the blocks of a bucket."""
+    return rows.groupBy("id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "id"])).alias("_places"))
+
+
 def between_classes(many: DataFrame, roots: DataFrame, reps: DataFrame, words: DataFrame, block: int = BLOCK, least: float = LEAST) -> DataFrame:
     """Near pairs of different classes (node, root) in large buckets (key, at, id, n).
 
@@ -188,14 +193,16 @@ def between_classes(many: DataFrame, roots: DataFrame, reps: DataFrame, words: D
     rows = rows.withColumn("_few", blocks(F.col("_all") - F.col("_most"))).withColumn("_rest", F.when(F.col("_one"), 0).otherwise(blocks(F.col("_most"))))
     minor, dealt = F.col("_one") | (F.col("root") != F.col("_major")), F.xxhash64("id", F.lit(1))
     rows = rows.withColumn("b", F.when(minor, F.pmod(dealt, F.col("_few"))).otherwise(F.col("_few") + F.pmod(dealt, F.col("_rest"))).cast("int"))
-    rows = rows.select("key", "part", "at", "id", "n", "root", "b", (F.col("_c") == F.col("part")).alias("own"), F.explode(F.sequence(F.lit(0), F.when(minor, F.col("_few") + F.col("_rest") - 1).otherwise(F.col("_few") - 1))).alias("_o"))
-    rows = rows.select("key", "part", "at", "id", "n", "root", "own", "b", F.least("b", "_o").alias("x"), F.greatest("b", "_o").alias("y"))
-    # only documents that may be near another one of their group meet the words
-    dealt = rows.join(words.select("id", "bag"), "id").withColumn("gid", F.xxhash64("key", "part", "x", "y"))
+    rows = rows.select("id", "key", "part", "at", "n", "root", "b", (F.col("_c") == F.col("part")).alias("own"), F.when(minor, F.col("_few") + F.col("_rest") - 1).otherwise(F.col("_few") - 1).alias("_last"))
+    # a document meets its bag once, however many groups it is dealt to, and its words only where it may be near another one
+    dealt = _listed(rows).join(words.select("id", "bag"), "id")
+    pair = lambda e, o: F.struct(*[e[c].alias(c) for c in ("key", "part", "at", "n", "root", "own", "b")], F.least(e["b"], o).alias("x"), F.greatest(e["b"], o).alias("y"))
+    groups = F.flatten(F.transform("_places", lambda e: F.transform(F.sequence(F.lit(0), e["_last"]), lambda o: pair(e, o))))
+    dealt = dealt.select("id", "bag", F.inline(groups)).withColumn("gid", F.xxhash64("key", "part", "x", "y"))
     kept = "key long, part int, at int, id long, n int, root long, own boolean, b int, x int, y int"
     dealt = dealt.select("gid", "key", "part", "at", "id", "n", "root", "own", "b", "x", "y", "bag").repartition("gid").sortWithinPartitions("gid")
     rows = checkpointed(dealt.mapInPandas(lambda frames: _maybe_near(frames, least), kept))
-    rows = rows.join(words, "id").join(reps.select("id", "keys"), "id")
+    rows = _listed(rows).join(words, "id").join(reps.select("id", "keys"), "id").select("id", "words", "bag", "keys", F.inline("_places"))
     return rows.groupBy("key", "part", "x", "y").applyInPandas(lambda g: _separate(g, least), "a long, b long")
 
 

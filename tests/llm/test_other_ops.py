@@ -330,6 +330,21 @@ def test_near_dedup_hub_of_two_kinds(spark):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
 
 
+def test_near_dedup_joins_bags_once_a_document(spark, monkeypatch):
+    """However many buckets and blocks a document is dealt to, it meets its bag and its words once."""
+    rnd = random.Random(14)
+    fresh = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    template = fresh(200)
+    docs = spark.createDataFrame([(i, " ".join(template + fresh(60))) for i in range(60)], "doc_id long, text string")
+    joined, join = [], type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, other, on=None, how=None: ("bag" in other.columns and on == "id" and joined.append(self)) or join(self, other, on, how))
+    assert order_minhash.near_dedup(docs).count() == 60
+    assert len(joined) == 2
+    for rows in joined:
+        assert rows.count() == rows.select("id").distinct().count()
+    assert joined[0].select("_places").first()["_places"]
+
+
 def test_near_dedup_pairs_on_one_template(spark):
     """Near pairs that agree only in the k-mers of a template all texts are written on."""
     rnd = random.Random(12)
