@@ -12,9 +12,10 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylane.llm import components, html_extract, language_id, order_minhash, packing, quality_classifier, queries, sentencepiece, url_filter
+from quarrylane.llm import common, components, html_extract, language_id, order_minhash, packing, quality_classifier, queries, sentencepiece, url_filter
 from quarrylane.llm import textkernels as tk
 
 SF = "/root/testdata/sf0.001"
@@ -416,6 +417,14 @@ def test_components(spark):
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
+def test_stored_frames_take_texts_in_small_batches(spark):
+    """Python gets a few MB of texts at a time where a frame is stored, however many rows that is."""
+    docs = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    sizes = common.checkpointed(docs.mapInPandas(lambda frames: (pd.DataFrame({"n": [len(f)]}) for f in frames), "n long"))
+    most = sizes.agg(F.max("n"), F.sum("n")).first()
+    assert most[1] == 2000 and most[0] * 10_000 <= 2 * 4 * 2**20
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs
