@@ -4,13 +4,14 @@ import glob
 import hashlib
 import os
 import random
+import time
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylane.llm import line_dedup, quality_rules, queries, simhash
+from quarrylane.llm import common, line_dedup, quality_rules, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,6 +69,23 @@ def test_line_dedup_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want
 
 
+def test_stored_frames_leave_no_shuffle_files(spark, tmp_path):
+    """What is stored at once has no use for the shuffle files it came from; the settings are as they were."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {name for f in manager.getAllFiles().mkString("\n").split("\n") if (name := f.rpartition("/")[2]).startswith("shuffle_")}
+    old, before = files(), {k: spark.conf.get(k, None) for k in common.STORING}
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    stored = common.checkpointed(frame)
+    again = common.written(frame, "cleanup")
+    assert {k: spark.conf.get(k, None) for k in common.STORING} == before
+    for _ in range(50):
+        if not files() - old:
+            break
+        time.sleep(0.2)
+    assert not files() - old
+    assert sorted(stored.collect()) == sorted(again.collect()) == sorted(frame.collect())
+
+
 def test_line_dedup_odd_rows(odd_docs, no_docs):
     rows = line_dedup.dedup(odd_docs).collect()
     assert len(rows) == 9 and {r["text"] for r in rows if r["doc_id"] == 2} == {None}
