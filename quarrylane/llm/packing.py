@@ -28,11 +28,26 @@ from pyspark.sql.window import Window
 from quarrylane.llm.common import checkpointed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of a worker's cache before it starts anew (about 200 bytes each).
-CACHE = 700_000
+#: Entries of a worker's cache before the older half goes (about 200 bytes each).
+CACHE = 600_000
 #: A Latin word in composed letters, then marks: two parts for this tokenizer, whatever the case of the letters.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?@\[-`{}]*)\Z")
 MARK = "~"
+#: Latin-1 in lower case, with blanks for line ends: what the tokenizer makes of it anyway.
+PLAIN = bytes(range(256)).decode("latin-1").lower().replace("\n", " ").encode("latin-1")
+#: A full stop or comma that continues a run of marks, which is one part for this tokenizer; elsewhere it is a part of its own.
+RUN = re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in range(256) if not chr(c).isalnum() and chr(c) not in " \t\r\n") + b"][.,]")
+
+
+def parts_of(text: str) -> list[str]:
+    """The blank-separated parts of a text; in Latin-1 they are lower-cased first, with stops and commas apart, so that fewer differ."""
+    try:
+        plain = text.encode("latin-1").translate(PLAIN)
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" ")
+    if not RUN.search(plain):
+        plain = plain.replace(b".", b" .").replace(b",", b" ,")
+    return plain.decode("latin-1").split(" ")
 
 
 def worker_state(name: str) -> dict:
@@ -49,7 +64,7 @@ class WordCache:
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer, self.known, self.older = tokenizer, {}, {}
         self.mark = tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def _encode(self, parts: list[str]) -> list[bytes]:
@@ -57,30 +72,37 @@ class WordCache:
         found: dict[str, bytes] = {}
         if plain and len(self.mark) == 1:
             ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            runs = np.split(ids, np.flatnonzero(ids == self.mark[0]))
-            if len(runs) == len(plain):
-                found = {p: (r[1:] if k else r).tobytes() for k, (p, r) in enumerate(zip(plain, runs, strict=True))}
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) == len(plain) - 1:
+                run, starts, ends = ids.tobytes(), [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), 4 * len(ids)]
+                found = {p: run[a:b] for p, a, b in zip(plain, starts, ends, strict=True)}
         return [found[p] if p in found else np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in parts]
 
     def _learn(self, parts: set[str]) -> None:
-        simple = {p: m.groups() for p in parts if (m := SIMPLE.match(p))}
+        simple = {p: m.groups() for p in parts if not (p.islower() and p.isalpha()) and (m := SIMPLE.match(p))}
         need = {x for word, marks in simple.values() for x in (word.lower(), marks)} | (parts - simple.keys())
-        need = [x for x in need if x not in self.known]
+        need = self._recall(need.difference(self.known))
         self.known.update(zip(need, self._encode(need), strict=True))
         for p, (word, marks) in simple.items():
             self.known[p] = self.known[word.lower()] + self.known[marks]
 
+    def _recall(self, parts: set[str]) -> list[str]:
+        """The parts that the older half of the cache does not know either; those it knows are young again."""
+        kept = parts & self.older.keys()
+        self.known.update({p: self.older[p] for p in kept})
+        return list(parts - kept)
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for k in range(0, len(texts), 200):
-            group = [t if "<|" in t else t.replace("\n", " ").split(" ") for t in texts[k : k + 200]]
+            group = [t if "<|" in t else parts_of(t) for t in texts[k : k + 200]]
             every = set().union(*(g for g in group if isinstance(g, list)))
             new = every.difference(self.known)
-            if new and len(self.known) + len(new) > CACHE:
-                self.known.clear()
+            if new and len(self.known) + len(new) > CACHE // 2:
+                self.known, self.older = {}, self.known
                 new = every
             if new:
-                self._learn(new)
+                self._learn(set(self._recall(new)))
             get = self.known.__getitem__
             for g in group:
                 whole = isinstance(g, str)

@@ -81,6 +81,25 @@ def test_word_cache_equals_library():
     assert [x.tolist() for x in cache.ids(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_word_cache_keeps_frequent_words(monkeypatch):
+    """When the cache is full, the words that come up again and again are not encoded anew."""
+    monkeypatch.setattr(packing, "CACHE", 400)
+    rnd = random.Random(3)
+    fresh = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(12)) for _ in range(n)]
+    cache, common, encoded = packing.WordCache(packing.word_bpe()), fresh(50), collections.Counter()
+    encode = cache._encode
+    monkeypatch.setattr(cache, "_encode", lambda parts: encoded.update(parts) or encode(parts))
+    texts = [" ".join([w if k % 2 else f"{w.title()}," for k, w in enumerate(common)] + fresh(60)) for _ in range(40)]
+    for t in texts:
+        assert cache.ids([t])[0].tolist() == cache.tokenizer.encode(t, add_special_tokens=False).ids
+    assert {encoded[w] for w in common} == {1} and len(cache.known) + len(cache.older) <= 600
+
+
+def test_stops_are_parts_of_their_own():
+    assert packing.parts_of("Ab, É. x\nY.5") == ["ab", ",", "é", ".", "x", "y", ".5"]
+    assert packing.parts_of("Ab... c.") == ["ab...", "c."] and packing.parts_of("Σσ. B") == ["Σσ.", "B"]
+
+
 # -- SentencePiece ----------------------------------------------------------------------------------------------------
 
 
