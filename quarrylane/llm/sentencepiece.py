@@ -104,6 +104,12 @@ def merged(word: str, rank: dict[str, int]) -> list[str]:
     return [p for p in part if p]
 
 
+def outranked(rank: dict[str, int]) -> set[str]:
+    """The pieces that are the beginning or the end of a piece of a better (or equal) rank, whose other part is a piece or a character."""
+    known = lambda p: len(p) == 1 or p in rank
+    return {x for p, r in rank.items() for k in range(1, len(p)) if known(p[:k]) and known(p[k:]) for x in (p[:k], p[k:]) if len(x) > 1 and rank[x] >= r}
+
+
 def prepared(text: str) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
@@ -205,18 +211,28 @@ def _bit(i: Column) -> Column:
 
 
 def fold_merges(n: Column, edges: Column) -> Column:
-    """Borders of a word of n characters as bits, from its edges (order, ends, inner, s, e, score).
+    """Borders of a word of n characters as bits, from its edges (order, ends, inner, outranked).
 
-    Every step removes the inner border of the best edge that spans exactly two neighbours.
+    Every step removes the inner border of the best edge that spans exactly two neighbours. One pass over the edges in
+    order does the same as long as no merge lets an edge fit that the pass has left behind. Only an outranked edge can do
+    that; where one does, the word is folded step by step.
     """
     start = _bit(n + 1) - F.lit(1).cast("long")
+    late = F.lit(1 << 62)
+    fits = lambda cuts, e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
+    without = lambda cuts, e: cuts.bitwiseAND(F.bitwise_not(e["inner"]))
 
     def step(cuts: Column, _: Column) -> Column:
-        fits = lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
-        best = F.array_min(F.filter(edges, fits))
-        return let(best, lambda b: F.when(b.isNull(), cuts).otherwise(cuts.bitwiseAND(F.bitwise_not(b["inner"]))))
+        best = F.array_min(F.filter(edges, lambda e: fits(cuts, e)))
+        return let(best, lambda b: F.when(b.isNull(), cuts).otherwise(without(cuts, b)))
+
+    def in_order(cuts: Column, e: Column) -> Column:
+        behind = lambda less: F.exists(edges, lambda x: (x["order"] <= e["order"]) & fits(less, x))
+        checked = let(without(cuts, e), lambda less: F.when(behind(less), less.bitwiseOR(late)).otherwise(less))
+        return F.when(~fits(cuts, e), cuts).when(e["outranked"], checked).otherwise(without(cuts, e))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)
+    steps = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)
+    return let(F.aggregate(F.sort_array(edges), start, in_order), lambda cuts: F.when(cuts.bitwiseAND(late) == 0, cuts).otherwise(steps))
 
 
 def fold_viterbi(n: Column, edges: Column, unknown: float) -> Column:
@@ -253,8 +269,9 @@ def segmented(asked: DataFrame, pieces: Pieces, fold: str = "merges", scores: di
     The piece table is as large as the vocabulary and no larger. Substrings meet it by hash; matches are compared.
     """
     spark = asked.sparkSession
-    rows = [(p, r, 0.0) for p, r in pieces.rank.items() if len(p) > 1] if fold == "merges" else [(p, 0, float(x)) for p, x in (scores or {}).items()]
-    table = spark.createDataFrame(rows, "piece string, rank int, score double").withColumn("h", F.xxhash64("piece"))
+    behind = outranked(pieces.rank) if fold == "merges" else set()
+    rows = [(p, r, 0.0, p in behind) for p, r in pieces.rank.items() if len(p) > 1] if fold == "merges" else [(p, 0, float(x), False) for p, x in (scores or {}).items()]
+    table = spark.createDataFrame(rows, "piece string, rank int, score double, outranked boolean").withColumn("h", F.xxhash64("piece"))
     least, widest = 2 if fold == "merges" else 1, max((len(r[0]) for r in rows), default=1)
     words = asked.repartition("word").groupBy("word", F.floor(F.col("split") / 4096).alias("_g")).agg(F.collect_list("split").alias("splits"))
     n = F.length("word")
@@ -262,10 +279,11 @@ def segmented(asked: DataFrame, pieces: Pieces, fold: str = "merges", scores: di
     edges = words.where(n >= 2).select("word", "_g", "splits", F.inline(spans)).join(F.broadcast(table), "h")
     edges = edges.where(F.col("piece") == F.expr("substring(word, s + 1, e - s)"))
     ends, inner = _bit(F.col("s")).bitwiseOR(_bit(F.col("e"))), _bit(F.col("e")) - _bit(F.col("s") + 1)
-    edge = F.struct((F.col("rank") * 64 + F.col("s")).alias("order"), ends.alias("ends"), inner.alias("inner"), *(["s", "e", "score"] if fold != "merges" else []))
+    edge = F.struct((F.col("rank") * 64 + F.col("s")).alias("order"), ends.alias("ends"), inner.alias("inner"), *(["s", "e", "score"] if fold != "merges" else ["outranked"]))
     edges = edges.groupBy("word", "_g").agg(F.any_value("splits").alias("splits"), F.collect_list(edge).alias("edges"))
     cuts = fold_merges(n, F.col("edges")) if fold == "merges" else fold_viterbi(n, F.col("edges"), unknown)
-    return edges.select(F.explode("splits").alias("split"), "word", cuts.alias("cuts"))
+    # first the fold, once a word, then a row for each split that asked
+    return edges.select("splits", "word", cuts.alias("cuts")).select(F.explode("splits").alias("split"), "word", "cuts")
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

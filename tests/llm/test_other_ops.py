@@ -125,6 +125,23 @@ def test_lattice_equals_merging(spark, docs):
         assert [r["word"][a:b] for a, b in zip(at, at[1:])] == sentencepiece.merged(r["word"], pieces.rank)
 
 
+def test_merging_in_one_pass_and_step_by_step(spark):
+    """Pieces of random ranks over three letters: many merges let an edge of better rank fit that came up before."""
+    rnd = random.Random(4)
+    made = ["".join(x) for n in (2, 3, 4) for x in itertools.product("abc", repeat=n)]
+    names = [*"abc", *rnd.sample(made, 60)]
+    order = rnd.sample(range(len(names)), len(names))
+    pieces = sentencepiece.Pieces(dict(zip(names, order, strict=True)), {p: k for k, p in enumerate(names)}, [0] * 256, names, 0)
+    worse = sentencepiece.outranked(pieces.rank)
+    assert 0 < len(worse) < 60 and sentencepiece.outranked({"ab": 0, "abc": 1, "bc": 2, "cd": 2, "bcd": 3}) == {"bc"}
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(2, 14))) for _ in range(500)} | {"abc" * 20}
+    got = sentencepiece.segmented(spark.createDataFrame([(0, w) for w in words], "split int, word string"), pieces).collect()
+    for r in got:
+        cuts = [i for i in range(len(r["word"]) + 1) if r["cuts"] >> i & 1]
+        assert [r["word"][a:b] for a, b in itertools.pairwise(cuts)] == sentencepiece.merged(r["word"], pieces.rank)
+    assert len(got) > 400
+
+
 def test_viterbi_fold_finds_the_best_path(spark):
     """The fold of a unigram table against all segmentations of every word."""
     rnd = random.Random(6)
