@@ -21,6 +21,7 @@ are ignored.
 from __future__ import annotations
 
 import copy
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -85,9 +86,7 @@ class Vocabulary:
     def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Codes of the tokens and the end; the words that have no code."""
         code, size = self.code, self.size
-        found = [code.get(t, -1) for t in tokens]
-        found.append(code.get(END, -1))
-        ids = np.array(found, np.int32)
+        ids = np.fromiter(map(code.get, itertools.chain(tokens, (END,)), itertools.repeat(-1)), np.int32, len(tokens) + 1)
         without = np.flatnonzero(ids < 0)
         rest = [tokens[k] if k < len(tokens) else END for k in without.tolist()]
         if rest:
