@@ -177,6 +177,21 @@ def test_encoder_without_answers_equals_library():
     assert [decoder.text(g) for g in got] == [t.replace("▁", " ") for t in texts]
 
 
+def test_sentencepiece_takes_texts_in_small_batches(spark, monkeypatch):
+    """Both passes over the texts get a few MB at a time, however long the texts of 10,000 rows are."""
+    plain = sentencepiece.slices
+
+    def watched(rows):
+        if rows.nbytes > 2 * 4 * 2**20:
+            raise ValueError(f"{rows.nbytes} bytes at once")
+        yield from plain(rows)
+
+    monkeypatch.setattr(sentencepiece, "slices", watched)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 2000).alias("text"))
+    got = sentencepiece.digest(docs, MODEL).agg(F.count("*"), F.count_if("round_trip"), F.min("n_ids"), F.max("n_ids")).first()
+    assert got[0] == got[1] == 2000 and got[2] == got[3] > 4000
+
+
 # -- classifiers ------------------------------------------------------------------------------------------------------
 
 
