@@ -26,7 +26,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,9 +147,14 @@ class Cutter:
         """A hash of every run of characters that begins at a start."""
         if not len(starts):
             return np.zeros(0, np.uint64)
-        at = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+        at = np.arange(len(codes), dtype=np.int32)
+        at -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(codes))))
+        at %= len(self.power)
         with np.errstate(over="ignore"):
-            return mix(np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * self.power[at % len(self.power)], starts))
+            terms = codes.astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= self.power[at]
+            return mix(np.add.reduceat(terms, starts))
 
     def cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """The prepared texts end to end, their characters, the words' starts and for each text its first word (and the end)."""
@@ -311,9 +316,8 @@ class Encoder:
         self.piece_hash, self.piece_id = h[order], np.array([pieces.ids[p] for p in names], np.uint32)[order]
         self.learn(())
 
-    def learn(self, answers: Iterable[tuple[list[str], np.ndarray]]) -> None:
-        """Forget the words known so far and know these: words and their cuts, in batches."""
-        parts = [self._segmented(*batch) for batch in answers]
+    def learn(self, parts: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Forget the words known so far and know these, in batches as ``answers`` gives them."""
         h = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
         count, flat = np.concatenate([np.zeros(0, np.int32), *(p[1] for p in parts)]), np.concatenate([np.zeros(0, np.uint32), *(p[2] for p in parts)])
         order = np.argsort(h)
@@ -331,7 +335,7 @@ class Encoder:
             out += [k] if k is not None else [self.pieces.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
-    def _segmented(self, words: list[str], c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def answers(self, words: list[str], c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash and number of ids of every word, and the ids end to end."""
         whole, n = "".join(words), np.array([len(w) for w in words], np.int64)
         codes, starts = self._codes(words)
@@ -420,7 +424,7 @@ def over_documents(docs: DataFrame, pieces: Pieces, emit: Callable[[int, str, np
                     of, words = split[low], []
                     encoder.learn(())
                 if is_word[low]:
-                    words.append((run.column("word").to_pylist(), run.column("cuts").to_numpy()))
+                    words.append(encoder.answers(run.column("word").to_pylist(), run.column("cuts").to_numpy()))
                     continue
                 if words:
                     encoder.learn(words)
