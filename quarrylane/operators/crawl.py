@@ -147,7 +147,7 @@ def edges(pages: DataFrame, site: str) -> DataFrame:
     """(source, url, child) of all links within the crawled part of the site, from pages (url, html, kind)."""
     target = urls.canonical("url")
     linked = pg.links(pages).select("source", target.alias("url"), F.lit(False).alias("child"))
-    declared = pg.extract(pages.where("kind = 'area'"), "area").select(F.col("url").alias("source"), F.explode("page.sub_communities.url").alias("url"))
+    declared = pg.extract(pages.where("kind = 'area'"), "area", ["sub_communities"]).select(F.col("url").alias("source"), F.explode("page.sub_communities.url").alias("url"))
     return linked.unionByName(declared.select("source", target.alias("url"), F.lit(True).alias("child"))).where(urls.allowed("url", site))
 
 
@@ -162,7 +162,7 @@ def routed(pages: DataFrame, areas: DataFrame, mode: str = "full") -> dict[str,
     known = areas.select("url").unionByName(of("area").select("url")).where("url is not null").distinct().withColumnRenamed("url", "area_url")
     within = lambda kind: of(kind).withColumn("area_url", F.regexp_replace("url", f"/{kind}$", "")).join(known, "area_url", "left_semi").select("url", "html")
     area_of = lambda rows, kind: rows.withColumn("area_url", F.regexp_replace("url", f"/{kind}$", "")).drop("url")
-    cards = pg.extract(within("buildings"), "area").select("url", F.explode("page.building_cards").alias("card"))
+    cards = pg.extract(within("buildings"), "area", ["building_cards"]).select("url", F.explode("page.building_cards").alias("card"))
     cards = area_of(cards, "buildings").select("area_url", "card.*")
     out = {"areas": pg.areas(of("area")), "developments": pg.developments(of("development")), "buildings": cards}
     out |= {kind: area_of(pg.listing(within(kind), kind), kind) for kind in ("amenities", "schools")}
