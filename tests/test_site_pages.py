@@ -43,7 +43,7 @@ def test_urls_are_joined_as_the_library_does(base):
         assert pg.joined(base, href) == urljoin(base, href), (base, href)
 
 
-QUERIES = ["site_companies", "site_developments", "site_documents"]
+QUERIES = ["site_companies", "site_developments", "site_documents", "site_facts"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
