@@ -43,7 +43,7 @@ def test_urls_are_joined_as_the_library_does(base):
         assert pg.joined(base, href) == urljoin(base, href), (base, href)
 
 
-QUERIES = ["site_companies", "site_developments", "site_documents", "site_facts", "site_milestones", "site_timeline", "site_places", "site_sub_buildings", "site_transactions", "site_building_cards", "site_links", "site_areas"]
+QUERIES = ["site_companies", "site_developments", "site_documents", "site_facts", "site_milestones", "site_timeline", "site_places", "site_sub_buildings", "site_transactions", "site_building_cards", "site_links", "site_areas", "site_sub_communities"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
