@@ -8,7 +8,7 @@ page expands:
 - pages of kind ``unknown`` never expand, listings of buildings do not in mode ``discover``, all other pages do.
 
 An area that was visited before it became trusted expands then, so what is reached does not depend on the order of visits.
-Rounds are semi-naive: only pages that begin to expand in a round meet the links. Rows that cannot change any more are set
+Rounds are semi-naive: only pages that begin to expand in a round meet the links, which hold the kind of their targets. Rows that cannot change any more are set
 aside as they are; those of pages to visit and of areas without trust are the only ones written again.
 
 Urls are canonical. Defined cases: seeds, pages and links that repeat count once (of several kinds of a page, the least);
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from quarrylane.functions import urls
 from quarrylane.operators import incremental
 from quarrylane.operators import pages as pg
-from quarrylane.operators.lineage import settled
+from quarrylane.operators.lineage import on_disk, settled
 
 QUEUE = "job_id long, url string, depth int, discovered_from string, status string, kind string, trusted boolean, mode string, everywhere boolean"
 COLUMNS = [c.split()[0] for c in QUEUE.split(", ")]
 MODES = ("full", "discover", "enrich", "update")
 #: So many rounds' final rows are kept as separate pieces.
 PIECES = 8
+#: Up to so many pages that expand in a round are sent to all links; more are joined by a shuffle of both.
+MOST_SENT = 50_000
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[str], k: int, parts: int = 64) -> DataFrame:
@@ -90,7 +92,8 @@ def walk(queue: DataFrame, pages: DataFrame, links: DataFrame, budget: int | Non
     if "child" not in links.columns:
         links = links.withColumn("child", F.lit(False))
     pages = settled(pages.where("url is not null").groupBy("url").agg(F.min(F.coalesce("kind", F.lit("unknown"))).alias("_kind")))
-    links = settled(links.where("source is not null and url is not null").groupBy("source", "url").agg(F.bool_or(F.coalesce("child", F.lit(False))).alias("child")))
+    links = links.where("source is not null and url is not null").groupBy("source", "url").agg(F.bool_or(F.coalesce("child", F.lit(False))).alias("child"))
+    links = on_disk(links.join(pages, "url", "left"))
     queue = settled(queue.select(*COLUMNS).join(pages, "url", "left"))
     # an area waits for trust; what has expanded, cannot expand or has failed is final
     waits = (F.col("status") == "done") & (F.col("kind") == "area") & ~F.col("everywhere") & ~F.col("trusted")
@@ -111,23 +114,23 @@ def walk(queue: DataFrame, pages: DataFrame, links: DataFrame, budget: int | Non
         if used is not None:
             used = settled(used.unionByName(now.where("new").groupBy("job_id").agg(F.count("*").alias("used"))).groupBy("job_id").agg(F.sum("used").alias("used")))
         through = now.where("open").select("job_id", F.col("url").alias("source"), (F.col("depth") + 1).alias("depth"), (F.col("kind") == "area").alias("area"), "mode", "everywhere")
-        found = through.join(links, "source").groupBy("job_id", "url").agg(
+        found = (F.broadcast(through) if done["open"] <= MOST_SENT else through).join(links, "source").groupBy("job_id", "url").agg(
             F.min(F.struct("depth", "source")).alias("_by"), F.bool_or(F.col("child") & F.col("area") | F.col("everywhere")).alias("_trusts"),
-            F.min("mode").alias("_mode"), F.bool_or("everywhere").alias("_everywhere"),
+            F.min("mode").alias("_mode"), F.bool_or("everywhere").alias("_everywhere"), F.min("_kind").alias("_found"),
         )
         final.append(now.where(~waits).select(*COLUMNS))
         if len(final) > PIECES:
             final = [settled(reduce(DataFrame.unionByName, final))]
-        left = now.where(waits).select(*COLUMNS)
+        left = now.where(waits).select(*COLUMNS, "_kind")
         if limited:
-            left = left.unionByName(pending.join(now.where("new").select("job_id", "url"), ["job_id", "url"], "left_anti").select(*COLUMNS))
+            left = left.unionByName(pending.join(now.where("new").select("job_id", "url"), ["job_id", "url"], "left_anti").select(*COLUMNS, "_kind"))
         met = left.join(found, ["job_id", "url"], "full").select(
             "job_id", "url", F.coalesce("depth", "_by.depth").alias("depth"), F.when(F.col("depth").isNull(), F.col("_by.source")).otherwise(F.col("discovered_from")).alias("discovered_from"),
             F.coalesce("status", F.lit("pending")).alias("status"), "kind", (F.coalesce("trusted", F.lit(False)) | F.coalesce("_trusts", F.lit(False))).alias("trusted"),
-            F.coalesce("mode", "_mode").alias("mode"), F.coalesce("everywhere", "_everywhere").alias("everywhere"),
+            F.coalesce("mode", "_mode").alias("mode"), F.coalesce("everywhere", "_everywhere").alias("everywhere"), F.coalesce("_kind", "_found").alias("_kind"),
         )
         known = reduce(DataFrame.unionByName, [f.select("job_id", "url") for f in final])
-        live = settled(met.join(known, ["job_id", "url"], "left_anti").join(pages, "url", "left"))
+        live = settled(met.join(known, ["job_id", "url"], "left_anti"))
     else:
         raise RuntimeError("the walk has more rounds than allowed")
     return reduce(DataFrame.unionByName, [*final, live.select(*COLUMNS)])
